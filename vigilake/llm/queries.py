@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.llm import common as C
-from vigilake.llm import license_scan, quality_nbsvm, token_records
+from vigilake.llm import license_scan, quality_nbsvm, simhash, token_records
 
 
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read(spark, folder, shards)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(C.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(C.table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_token_records": op3_token_records,
+    "op4_simhash": op4_simhash,
     "op8_license_scan": op8_license_scan,
     "op10_quality_nbsvm": op10_quality_nbsvm,
 }
