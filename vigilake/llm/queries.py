@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.llm import common as C
-from vigilake.llm import license_scan, quality_nbsvm, simhash, token_records
+from vigilake.llm import language_crf, license_scan, quality_nbsvm, simhash, token_records
 
 
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(C.table(spark, sf_dir, "documents"))
 
 
+def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    found = language_crf.label(docs, language_crf.train(docs))
+    return found.select("doc_id", (C.crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     model = quality_nbsvm.train(docs, C.table(spark, sf_dir, "labels"))
@@ -37,6 +43,7 @@ QUERIES = {
     "op3_token_records": op3_token_records,
     "op4_simhash": op4_simhash,
     "op8_license_scan": op8_license_scan,
+    "op9_language_crf": op9_language_crf,
     "op10_quality_nbsvm": op10_quality_nbsvm,
 }
 ORACLES = {"op8_license_scan": license_scan.oracle()}
