@@ -7,7 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.llm import common as C
-from vigilake.llm import language_crf, license_scan, quality_nbsvm, simhash, token_records
+from vigilake.llm import decontaminate, flac, language_crf, license_scan, quality_nbsvm, simhash, token_records
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "n_items", "items", "spans")
 
 
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +26,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digests(C.table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(C.table(spark, sf_dir, "documents"))
 
@@ -40,8 +49,10 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_token_records": op3_token_records,
     "op4_simhash": op4_simhash,
+    "op6_flac": op6_flac,
     "op8_license_scan": op8_license_scan,
     "op9_language_crf": op9_language_crf,
     "op10_quality_nbsvm": op10_quality_nbsvm,
