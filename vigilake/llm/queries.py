@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.llm import common as C
-from vigilake.llm import decontaminate, flac, language_crf, license_scan, quality_nbsvm, simhash, token_records
+from vigilake.llm import decontaminate, flac, language_crf, license_scan, quality_nbsvm, sentencepiece_ffbs, simhash, token_records
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_ffbs.digests(C.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +53,7 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_records": op3_token_records,
     "op4_simhash": op4_simhash,
