@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.llm import common as C
-from vigilake.llm import decontaminate, flac, language_crf, license_scan, quality_nbsvm, sentencepiece_ffbs, simhash, token_records
+from vigilake.llm import decontaminate, flac, language_crf, license_scan, quality_nbsvm, sentencepiece_ffbs, simhash, suffix_dedup, token_records
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(C.table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(C.table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(C.table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op3_token_records": op3_token_records,
     "op4_simhash": op4_simhash,
     "op6_flac": op6_flac,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_language_crf": op9_language_crf,
     "op10_quality_nbsvm": op10_quality_nbsvm,
