@@ -97,6 +97,18 @@ def map_texts(df: DataFrame, schema: str, kernel: Callable, *, text: str = "text
     return df.mapInArrow(run, schema)
 
 
+def filter_texts(df: DataFrame, test: Callable, *, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
+    """Rows of df, all columns, for which test(data, off) of their slice is true."""
+
+    def run(batches):
+        for whole in batches:
+            data, off = utf8(whole.column(whole.schema.get_field_index(text)))
+            for i, j in slices(off, limit):
+                yield whole.slice(i, j - i).filter(pa.array(test(data[off[i] : off[j]], off[i : j + 1] - off[i])))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def crc_mod(column, n: int):
     """crc32 of the id as text, modulo n: the folds of the learned operators."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % n

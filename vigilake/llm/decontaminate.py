@@ -237,17 +237,39 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: st
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows of docs, all columns, that hold no place of any item."""
+    for block in blocks(benchmark, item, item_text):
+        docs = C.filter_texts(docs, _no_place(docs.sparkSession.sparkContext.broadcast(sorted(block))), text=text, limit=2 << 20)
+    return docs
+
+
 _INDEXES: dict = {}
 
 
+def _index(key: str, shared) -> Needles:
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = Needles(shared.value)
+    return _INDEXES[key]
+
+
+def _no_place(shared):
+    key = uuid.uuid4().hex
+
+    def test(data, off):
+        free = np.ones(len(off) - 1, bool)
+        free[places(_index(key, shared), data, off)[1]] = False
+        return free
+
+    return test
+
+
 def _kernel(shared):
     key = uuid.uuid4().hex
 
     def kernel(part, data, off):
-        if key not in _INDEXES:
-            _INDEXES.clear()
-            _INDEXES[key] = Needles(shared.value)
-        item, row, start, end, edits = places(_INDEXES[key], data, off)
+        item, row, start, end, edits = places(_index(key, shared), data, off)
         order = np.argsort(row, kind="stable")
         cut = np.searchsorted(row[order], np.arange(len(off)))
         base = off[:-1]

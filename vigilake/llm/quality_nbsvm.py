@@ -130,3 +130,9 @@ def score(docs: DataFrame, model: dict, *, key: str = "doc_id", text: str = "tex
         return {"id": part.column(0), "score": scores(shared.value, data, off)}
 
     return C.map_texts(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id long, score double", kernel).withColumnRenamed("id", key)
+
+
+def keep(docs: DataFrame, model: dict, *, text: str = "text", least: float = THRESHOLD) -> DataFrame:
+    """Rows of docs, all columns, whose text scores least or more."""
+    shared = docs.sparkSession.sparkContext.broadcast({k: v.astype(np.float32) if isinstance(v, np.ndarray) else v for k, v in model.items()})
+    return C.filter_texts(docs, lambda data, off: scores(shared.value, data, off) >= least, text=text)

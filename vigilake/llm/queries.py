@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.llm import common as C
-from vigilake.llm import decontaminate, flac, language_crf, license_scan, quality_nbsvm, sentencepiece_ffbs, simhash, suffix_dedup, token_records
+from vigilake.llm import compact_windows, decontaminate, flac, language_crf, license_scan, quality_nbsvm, sentencepiece_ffbs, simhash, suffix_dedup, token_records
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.classes(C.table(spark, sf_dir, "documents"))
+
+
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(C.table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_token_records": op3_token_records,
     "op4_simhash": op4_simhash,
+    "op5_compact_windows": op5_compact_windows,
     "op6_flac": op6_flac,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_license_scan": op8_license_scan,

@@ -320,15 +320,17 @@ def _contexts(joined: DataFrame) -> DataFrame:
     return C.map_texts(joined, "kh long, id long, lo int, at int, text binary", kernel, limit=2 << 20)
 
 
-def removals(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, text, packs (first and last window start, packed, of each repeat; null where nothing repeats) of rows with an id."""
+def removals(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry: list[str] = ()) -> DataFrame:
+    """id, text, packs (first and last window start, packed, of each repeat; null where nothing repeats) and carried columns of rows with an id."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     found = C.cut(resolve(spans(rows, hot_grams(rows))), "spans")
     open_ = found.where("kh is not null").groupBy("id").agg(F.collect_list(F.struct("kh", "at", "lo", "hi")).alias("open"))
     more = compare(_contexts(rows.join(open_, "id").select("id", "text", "open")))
     pack = (F.col("lo").cast("long") * F.lit(1 << 32) + F.col("hi")).alias("pack")
     packs = found.where("kh is null").select("id", pack).unionAll(more).groupBy("id").agg(F.collect_list("pack").alias("packs"))
-    return rows.join(packs, "id", "left").select("id", "text", "packs")
+    if carry:
+        rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"_{c}") for c in carry)).where("id is not null")
+    return rows.join(packs, "id", "left").select("id", "text", "packs", *(f"_{c}" for c in carry))
 
 
 def removed_runs(packs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -375,8 +377,9 @@ def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     return got.unionAll(none).withColumnRenamed("id", key)
 
 
-def kept(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text without its removed bytes; a character that a run covers in part stays. Rows with an id only."""
+def kept(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry: list[str] = ()) -> DataFrame:
+    """key, text without its removed bytes, carried columns; a character that a run covers in part stays. Rows with an id only."""
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def kernel(part, data, off):
         raw, out = data.tobytes(), []
@@ -390,6 +393,6 @@ def kept(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
                 left.append(body[at:i])
                 at = j
             out.append((b"".join(left) + body[at:]).decode("utf-8", "replace"))
-        return {"id": part.column(0), "text": out}
+        return {"id": part.column(0), "text": out} | {c: part.column(f"_{c}") for c in carry}
 
-    return C.map_texts(removals(docs, key=key, text=text), "id long, text string", kernel, limit=2 << 20).withColumnRenamed("id", key)
+    return C.map_texts(removals(docs, key=key, text=text, carry=carry), f"id long, text string{kinds}", kernel, limit=2 << 20).withColumnRenamed("id", key)
