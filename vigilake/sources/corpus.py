@@ -20,7 +20,9 @@ def decoded(content: Column) -> Column:
 
 def read_tree(spark: SparkSession, root: str, most: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
     """files(path, name, ext, content, n_bytes) below root, and the files skipped for their size (path, n_bytes)."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
+    if dots := _dot_files(spark, root, most):
+        raw = raw.unionByName(spark.createDataFrame(dots, raw.schema))
     rel = F.regexp_replace(F.col("path"), r"^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
     raw = raw.select(rel.alias("path"), "length", "content").where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED_FOLDERS))))
     name = F.element_at(F.split("path", "/"), -1)
@@ -30,6 +32,24 @@ def read_tree(spark: SparkSession, root: str, most: int = MOST_BYTES) -> tuple[D
     return files, raw.where(F.col("length") > most).select("path", F.col("length").alias("n_bytes"))
 
 
+def _dot_files(spark: SparkSession, root: str, most: int) -> list[tuple[str, int, bytearray]]:
+    """Environment and ignore files. Spark's readers pass over names that start with a dot, so the driver reads these few
+    small files; of one over the size limit only the length is taken."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, listing = [], fs.listFiles(path, True)
+    while listing.hasNext():
+        status = listing.next()
+        f, size = status.getPath(), status.getLen()
+        if f.getName().startswith(".env") or f.getName() == ".gitignore":
+            stream = fs.open(f)
+            body = bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)) if size <= most else bytearray()
+            stream.close()
+            found.append((f.toString(), size, body))
+    return found
+
+
 def files_from_documents(docs: DataFrame) -> DataFrame:
     """path = source/doc_id.lang, content = text."""
     path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
