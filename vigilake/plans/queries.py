@@ -424,3 +424,73 @@ def bmc_counterexample(spark, sf):
     i = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")
     tried = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", i)
     return tried.groupBy("c_custkey").agg(F.bool_or((F.col("i") == F.col("c_nationkey")) & ~(F.col("c_acctbal") > 1000 * F.col("i"))).alias("counterexample"))
+
+
+# lexical and policy extraction over scripts that are written from the tables' rows
+
+def _script(df: DataFrame, path, content) -> DataFrame:
+    return df.select(path.alias("path"), content.alias("content"))
+
+
+@query("ddl_policies", """SELECT 'c' || c_custkey AS path, 'p' || c_custkey AS name, lower(c_mktsegment) AS "table", CASE WHEN c_custkey % 3 = 0 THEN 'all' ELSE 'select' END AS operation,
+ '{"op": "and", "args": [{"op": "uid_eq", "column": "user_id"}, {"op": "=", "column": "nation", "value": "' || c_nationkey || '"}]}' AS using_json FROM customer""")
+def ddl_policies(spark, sf):
+    from vigilake.sources import ddl
+
+    c = table(spark, sf, "customer")
+    op = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(" for select")
+    text = F.format_string("-- policy\ncreate policy p%d on %s%s using (auth.uid() = user_id and nation = '%d');", "c_custkey", "c_mktsegment", op, "c_nationkey")
+    return ddl.policies(_script(c, F.concat(F.lit("c"), F.col("c_custkey").cast("string")), text)).select("path", "name", "table", "operation", "using_json")
+
+
+@query("ddl_owner_columns", "SELECT 't' || s_suppkey AS path, 't' || s_suppkey AS \"table\", CASE s_nationkey % 3 WHEN 0 THEN 'user_id' WHEN 1 THEN 'boss' END AS \"column\" FROM supplier WHERE s_nationkey % 3 < 2")
+def ddl_owner_columns(spark, sf):
+    from vigilake.sources import ddl
+
+    s = table(spark, sf, "supplier")
+    column = F.when(F.col("s_nationkey") % 3 == 0, "user_id uuid").when(F.col("s_nationkey") % 3 == 1, "boss bigint references auth.users(id)").otherwise("plain text")
+    text = F.format_string("create table t%d (id int, note text default 'user_id uuid', %s);", "s_suppkey", column)
+    return ddl.owner_columns(_script(s, F.concat(F.lit("t"), F.col("s_suppkey").cast("string")), text))
+
+
+@query("call_arguments", "SELECT 'p' || p_partkey AS path, 2 AS line, ['''' || p_brand || '''', 'f(' || p_size || ', 1)'] AS args FROM part WHERE p_partkey % 4 <> 0")
+def call_arguments(spark, sf):
+    from vigilake.operators import lexer
+
+    p = table(spark, sf, "part")
+    text = F.format_string("// note\n%sclient.rpc('%s', f(%d, 1));", F.when(F.col("p_partkey") % 4 == 0, "// ").otherwise(""), "p_brand", "p_size")
+    return lexer.calls(_script(p, F.concat(F.lit("p"), F.col("p_partkey").cast("string")), text), r"\w+\.rpc").select("path", "line", "args")
+
+
+@query("taint_paths", """SELECT 'o' || o_orderkey AS path, CASE o_orderkey % 4 WHEN 0 THEN 'sql' ELSE 'command' END AS sink, CASE WHEN o_orderkey % 8 = 5 THEN 'medium' ELSE 'high' END AS confidence FROM orders WHERE o_orderkey % 4 IN (0, 1)""")
+def taint_paths(spark, sf):
+    from vigilake.operators import taint
+
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    hops = F.when(k % 8 == 5, "let b = a; let c = b; let d = c; let e = d; exec(e);").otherwise("exec(a);")
+    text = F.when(k % 4 == 0, "const a = req.query.a;\ndb.query('select ' + a);").when(k % 4 == 1, F.concat(F.lit("let a = req.body.a;\n"), hops)).when(k % 4 == 2, "const a = parseInt(req.query.a);\ndb.query('select ' + a);").otherwise("db.query('select ?', [req.query.a]);")
+    return taint.findings(_script(o, F.concat(F.lit("o"), k.cast("string")), text)).select("path", "sink", "confidence")
+
+
+@query("comment_offsets", """SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'signup' AND s.user_id = e.user_id AND e.event_id >= s.event_id AND e.event_id < s.event_id + 500)""")
+def comment_offsets(spark, sf):
+    """Points outside all intervals of their key: intervals are cut at steps of 500, so the join is on equal keys."""
+    e = table(spark, sf, "events")
+    spans = e.where("event_type = 'signup'").select(F.col("user_id").alias("u"), F.col("event_id").alias("start"))
+    spans = spans.withColumn("step", F.explode(F.array(F.floor(F.col("start") / 500), F.floor((F.col("start") + 499) / 500))))
+    inside = e.withColumn("step", F.floor(F.col("event_id") / 500)).alias("e").join(spans.alias("s"), F.expr("e.user_id = s.u AND e.step = s.step AND e.event_id >= s.start AND e.event_id < s.start + 500"), "left_semi")
+    return e.select("event_id").join(inside.select("event_id"), "event_id", "left_anti")
+
+
+@query("edge_functions", "SELECT user_id % 100 AS file, bool_or(event_type = 'error') AS service_role, list_sort(list(DISTINCT event_type)) AS params FROM events GROUP BY 1")
+def edge_functions(spark, sf):
+    return table(spark, sf, "events").groupBy((F.col("user_id") % 100).alias("file")).agg(F.bool_or(F.col("event_type") == "error").alias("service_role"), F.array_sort(F.collect_set("event_type")).alias("params"))
+
+
+@query("gitignore_last_match", """WITH rule(n, rx, negated) AS (VALUES (1, '^https', false), (2, '/[0-9]*[02468]$', true), (3, '5', false))
+SELECT url, coalesce(arg_max(NOT negated, n), false) AS ignored FROM pages LEFT JOIN rule ON regexp_matches(url, rx) GROUP BY url""")
+def gitignore_last_match(spark, sf):
+    last = F.lit(False)
+    for rx, negated in (("^https", False), ("/[0-9]*[02468]$", True), ("5", False)):
+        last = F.when(F.col("url").rlike(rx), F.lit(not negated)).otherwise(last)
+    return table(spark, sf, "pages").select("url", last.alias("ignored")).distinct()
