@@ -233,9 +233,9 @@ def suppressions_by_rule(spark, sf):
     return found(spark, sf).where("line % 2 = 0").groupBy("code").agg(F.count("*").alias("n")).where("n >= 5")
 
 
-@query("cwe_taxonomy", f"{FOUND_SQL} SELECT code, list_sort(list(DISTINCT cwe)) AS cwes FROM findings WHERE cwe <> '' GROUP BY code")
+@query("cwe_taxonomy", f"{FOUND_SQL} SELECT code, array_to_string(list_sort(list(DISTINCT cwe)), '|') AS cwes FROM findings WHERE cwe <> '' GROUP BY code")
 def cwe_taxonomy(spark, sf):
-    return found(spark, sf).where("cwe <> ''").groupBy("code").agg(F.array_sort(F.collect_set("cwe")).alias("cwes"))
+    return found(spark, sf).where("cwe <> ''").groupBy("code").agg(F.array_join(F.array_sort(F.collect_set("cwe")), "|").alias("cwes"))
 
 
 @query("run_percentiles_last50", """SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM (
@@ -453,13 +453,13 @@ def ddl_owner_columns(spark, sf):
     return ddl.owner_columns(_script(s, F.concat(F.lit("t"), F.col("s_suppkey").cast("string")), text))
 
 
-@query("call_arguments", "SELECT 'p' || p_partkey AS path, 2 AS line, ['''' || p_brand || '''', 'f(' || p_size || ', 1)'] AS args FROM part WHERE p_partkey % 4 <> 0")
+@query("call_arguments", "SELECT 'p' || p_partkey AS path, 2 AS line, chr(39) || p_brand || chr(39) || '|f(' || p_size || ', 1)' AS args FROM part WHERE p_partkey % 4 <> 0")
 def call_arguments(spark, sf):
     from vigilake.operators import lexer
 
     p = table(spark, sf, "part")
     text = F.format_string("// note\n%sclient.rpc('%s', f(%d, 1));", F.when(F.col("p_partkey") % 4 == 0, "// ").otherwise(""), "p_brand", "p_size")
-    return lexer.calls(_script(p, F.concat(F.lit("p"), F.col("p_partkey").cast("string")), text), r"\w+\.rpc").select("path", "line", "args")
+    return lexer.calls(_script(p, F.concat(F.lit("p"), F.col("p_partkey").cast("string")), text), r"\w+\.rpc").select("path", "line", F.array_join("args", "|").alias("args"))
 
 
 @query("taint_paths", """SELECT 'o' || o_orderkey AS path, CASE o_orderkey % 4 WHEN 0 THEN 'sql' ELSE 'command' END AS sink, CASE WHEN o_orderkey % 8 = 5 THEN 'medium' ELSE 'high' END AS confidence FROM orders WHERE o_orderkey % 4 IN (0, 1)""")
@@ -482,9 +482,9 @@ def comment_offsets(spark, sf):
     return e.select("event_id").join(inside.select("event_id"), "event_id", "left_anti")
 
 
-@query("edge_functions", "SELECT user_id % 100 AS file, bool_or(event_type = 'error') AS service_role, list_sort(list(DISTINCT event_type)) AS params FROM events GROUP BY 1")
+@query("edge_functions", "SELECT user_id % 100 AS file, bool_or(event_type = 'error') AS service_role, array_to_string(list_sort(list(DISTINCT event_type)), '|') AS params FROM events GROUP BY 1")
 def edge_functions(spark, sf):
-    return table(spark, sf, "events").groupBy((F.col("user_id") % 100).alias("file")).agg(F.bool_or(F.col("event_type") == "error").alias("service_role"), F.array_sort(F.collect_set("event_type")).alias("params"))
+    return table(spark, sf, "events").groupBy((F.col("user_id") % 100).alias("file")).agg(F.bool_or(F.col("event_type") == "error").alias("service_role"), F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("params"))
 
 
 @query("gitignore_last_match", """WITH rule(n, rx, negated) AS (VALUES (1, '^https', false), (2, '/[0-9]*[02468]$', true), (3, '5', false))
