@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.countDistinct("v")).first())
+    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def link_buckets(hits: DataFrame, near: Column, verify=None) -> DataFrame:
