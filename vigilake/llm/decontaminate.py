@@ -37,7 +37,8 @@ def plain(data: np.ndarray, off: np.ndarray):
     at = np.flatnonzero(keep)
     out = np.where(word[at], low[at], 32).astype(np.uint8)
     # one space before the first word of a row and one behind the last
-    size = np.bincount(C.row_of(off, at), minlength=len(off) - 1) if len(at) else np.zeros(len(off) - 1, np.int64)
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    size = kept[off[1:]] - kept[off[:-1]]
     full = size > 0
     new = np.concatenate([[0], np.cumsum(size + 2 * full)])
     pos = np.arange(len(at)) + np.repeat(new[:-1] - np.concatenate([[0], np.cumsum(size)])[:-1] + full, size)
@@ -113,17 +114,22 @@ class Needles:
         times = self.last[key] - self.first[key]
         post = np.repeat(self.first[key] - np.concatenate([[0], np.cumsum(times)])[:-1], times) + np.arange(times.sum())
         needle, diagonal, row = self.needle[post], np.repeat(at, times) - self.offset[post], np.repeat(row, times)
-        # two overlapping bands of 4 k + 2 diagonals hold any 2 k + 1 of them between them
-        step = 2 * self.edits[needle] + 1
-        low = np.floor_divide(diagonal, step)
-        band = np.concatenate([low, low - 1])
-        code = np.stack([np.concatenate([needle, needle]), np.concatenate([row, row]), band], 1)
-        order = np.lexsort(code.T[::-1])
-        code = code[order]
-        edge = np.concatenate([[True], (code[1:] != code[:-1]).any(1)])
-        begin = np.flatnonzero(edge)
-        count = np.diff(np.concatenate([begin, [len(code)]]))
-        code = code[begin][count >= self.bound[code[begin, 0]]]
+        # hits by needle, row and strip of 2 k + 1 diagonals; two neighbouring strips are a band, and any 2 k + 1 diagonals
+        # lie in one of these overlapping bands
+        step = (2 * self.edits + 1)[needle]
+        strip = np.floor_divide(diagonal, step)
+        base = int(strip.min()) - 1
+        wide, rows = int(strip.max()) - base + 2, len(off) - 1
+        key = np.sort((needle * rows + row) * wide + (strip - base))
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.concatenate([begin, [len(key)]]))
+        key = key[begin]
+        after = np.concatenate([np.where(key[1:] == key[:-1] + 1, count[1:], 0), [0]])
+        before = np.concatenate([[True], key[:-1] != key[1:] - 1])
+        # a strip with the one behind it, and with the one before it where that one has no hit
+        own = self.bound[key // wide // rows]
+        band = np.concatenate([key[count + after >= own], key[before & (count >= own)] - 1])
+        code = np.stack([band // wide // rows, band // wide % rows, band % wide + base], 1)
         return self._verify(code, text, off)
 
     def _verify(self, code, text, off):
@@ -137,42 +143,56 @@ class Needles:
     def _align(self, code, k, text, off):
         """Edit distance of needles to their bands: any start and any end within the band is free."""
         needle, row, band = code.T
-        width, m = 4 * k + 2, self.size[needle]
-        start, lo, hi = band * (2 * k + 1), off[row], off[row + 1]
-        longest = int(m.max())
+        m, longest = self.size[needle], int(self.size[needle].max())
+        width, start = 4 * k + 2, band * (2 * k + 1)
         pattern = np.zeros((len(code), longest), np.uint8)
         for i, x in enumerate(needle):
             pattern[i, : m[i]] = np.frombuffer(self.text[x], np.uint8)
-        cell = np.arange(width)
-        # cost[c]: least edits of a prefix that ends on diagonal start + c; origin[c]: where that prefix began
-        outside = 4 * longest
-        place = start[:, None] + cell
-        cost = np.where((place >= lo[:, None]) & (place <= hi[:, None]), 0, outside)
-        origin = np.where(place < lo[:, None], lo[:, None], place)
-        done, end, began = np.full(len(code), outside), np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-        for i in range(longest):
-            j = place + i
-            ok = (j >= lo[:, None]) & (j < hi[:, None])
-            same = (text[np.clip(j, 0, len(text) - 1)] == pattern[:, i : i + 1]) & ok
-            diag = np.where(ok, cost + ~same, outside)
-            # a needle byte without a text byte comes from one diagonal up
-            up = np.concatenate([cost[:, 1:], np.full((len(code), 1), outside)], 1) + 1
-            from_up = np.concatenate([origin[:, 1:], origin[:, -1:]], 1)
-            take = up < diag
-            new, origin = np.where(take, up, diag), np.where(take, from_up, origin)
-            # text bytes without needle bytes: the best cell to the left plus the distance
-            lead = np.minimum.accumulate(new - cell, axis=1)
-            best = np.maximum.accumulate(np.where(new - cell == lead, cell, 0), axis=1)
-            new = lead + cell
-            origin = np.take_along_axis(origin, best, 1)
-            cost = new
-            last = m == i + 1
-            if last.any():
-                c = cost[last].argmin(1)
-                r = np.flatnonzero(last)
-                done[r], end[r], began[r] = cost[r, c], start[r] + c + i + 1, origin[r, c]
-        good = done <= k
-        return needle[good], row[good], np.maximum(began, lo)[good], np.minimum(end, hi)[good], done[good]
+        at = start[:, None] + np.arange(width + longest)
+        inside = (at >= off[row][:, None]) & (at < off[row + 1][:, None])
+        body = np.where(inside, text[np.clip(at, 0, len(text) - 1)], 0)
+        # most bands fail, and their distance alone says so; where a match began is worked out for the others
+        done, _, _ = _banded(pattern, m, body, inside, width, False)
+        good = np.flatnonzero(done <= k)
+        done, end, began = _banded(pattern[good], m[good], body[good], inside[good], width, True)
+        needle, row, start = needle[good], row[good], start[good]
+        return needle, row, np.maximum(start + began, off[row]), np.minimum(start + end, off[row + 1]), done
+
+
+def _banded(pattern, m, body, inside, width, trace):
+    """Distance of each pattern to its body within a band, the end, and the begin if trace; places outside cost a lot."""
+    n, longest = pattern.shape
+    if not n:
+        return (np.zeros(0, np.int64),) * 3
+    far = np.int16(4 * longest)
+    cell = np.arange(width, dtype=np.int16)
+    # the first cell behind a row may end an empty prefix, so a cell is open if its place or the one before it is inside
+    open_ = inside.copy()
+    open_[:, 1:] |= inside[:, :-1]
+    cost = np.where(open_[:, :width], np.int16(0), far)
+    origin = np.broadcast_to(np.arange(width, dtype=np.int32), (n, width)) if trace else None
+    done, end, began = np.full(n, int(far)), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    wall = np.full((n, 1), far, np.int16)
+    for i in range(longest):
+        ok = inside[:, i : i + width]
+        diag = np.where(ok, cost + (body[:, i : i + width] != pattern[:, i : i + 1]), far)
+        # a needle byte without a text byte comes from one diagonal up
+        up = np.concatenate([cost[:, 1:], wall], 1) + np.int16(1)
+        new = np.minimum(diag, up) - cell
+        # text bytes without needle bytes: the best cell to the left plus the distance
+        lead = np.minimum.accumulate(new, axis=1)
+        if trace:
+            origin = np.where(up < diag, np.concatenate([origin[:, 1:], origin[:, -1:]], 1), origin)
+            origin = np.take_along_axis(origin, np.maximum.accumulate(np.where(new == lead, cell, 0), axis=1).astype(np.int64), 1)
+        cost = lead + cell
+        last = m == i + 1
+        if last.any():
+            r = np.flatnonzero(last)
+            c = cost[r].argmin(1)
+            done[r], end[r] = cost[r, c], c + i + 1
+            if trace:
+                began[r] = origin[r, c]
+    return done, end, began
 
 
 def _none():
