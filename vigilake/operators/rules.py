@@ -13,13 +13,19 @@ BEFORE, AFTER = 8, 4
 NEVER = "(?!)"
 
 
-def _gate(rule: Rule) -> Column:
-    ok = F.col("content").rlike(rule.regex) & F.col("path").rlike(rule.ext)
-    if rule.file_has:
-        ok = ok & F.col("content").rlike(rule.file_has)
-    if rule.file_ok:
-        ok = ok & ~F.col("content").rlike(rule.file_ok)
-    return ok
+def _sql(text: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _gates(rules: list[Rule]) -> Column:
+    """Numbers of the rules that a whole file may hold; one parsed expression, as making it by calls takes seconds."""
+    parts = []
+    for i, r in enumerate(rules):
+        ok = [f"content RLIKE {_sql(r.regex)}", f"path RLIKE {_sql(r.ext)}"]
+        ok += [f"content RLIKE {_sql(r.file_has)}"] * bool(r.file_has) + [f"NOT content RLIKE {_sql(r.file_ok)}"] * bool(r.file_ok)
+        parts.append(f"CASE WHEN {' AND '.join(ok)} THEN {i} END")
+    return F.expr(f"array_compact(array({', '.join(parts)}))")
 
 
 def run(files: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -33,7 +39,7 @@ def run(files: DataFrame, rules: list[Rule]) -> DataFrame:
     spec = [(i, *(getattr(r, n) for n in about), r.regex, r.unless or NEVER, r.near, r.near_ok or NEVER, bool(r.near or r.near_ok)) for i, r in enumerate(rules)]
     kinds = ", ".join(f"{n} string" for n in (*about, "rx", "unless", "near", "near_ok"))
     spec = files.sparkSession.createDataFrame(spec, f"rule int, {kinds}, looks boolean")
-    hits = files.select("path", "content", F.explode(F.array_compact(F.array(*(F.when(_gate(r), F.lit(i)) for i, r in enumerate(rules))))).alias("rule"))
+    hits = files.select("path", "content", F.explode(_gates(rules)).alias("rule"))
     split = hits.join(F.broadcast(spec), "rule").withColumn("ls", F.split("content", "\n")).drop("content")
     rows = split.select("*", F.posexplode("ls").alias("i", "text"))
     rows = rows.where(F.rlike("text", F.col("rx")) & ~F.rlike("text", F.col("unless")))
