@@ -343,3 +343,17 @@ def test_quality(spark, docs, odd, empty):
     assert quality_nbsvm.keep(train, model).columns == train.columns and quality_nbsvm.keep(train, model).count() == 150
     none = quality_nbsvm.train(docs, labels.limit(0))
     assert {r.score for r in quality_nbsvm.score(docs, none).collect()} == {0.5}
+
+
+def test_passages_of_shuffled_texts():
+    """Rotated and repetitive token sequences: shifts fall into clusters, and every passage found is similar enough."""
+    rng, found = np.random.default_rng(0), 0
+    for _ in range(400):
+        y = rng.integers(0, int(rng.integers(20, 400)), int(rng.integers(46, 300))).astype(np.uint64)
+        a = int(rng.integers(len(y)))
+        x = np.concatenate([y[a:], rng.integers(0, 400, int(rng.integers(60))).astype(np.uint64), y[:a]])
+        for i, j, k, m, sim in compact_windows.match(x, y):
+            s, t = set(x[i:j].tolist()), set(y[k:m].tolist())
+            assert j - i >= compact_windows.LEAST and len(s & t) / len(s | t) == sim >= compact_windows.SIMILARITY
+            found += 1
+    assert found > 100
