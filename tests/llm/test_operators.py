@@ -357,3 +357,14 @@ def test_passages_of_shuffled_texts():
             assert j - i >= compact_windows.LEAST and len(s & t) / len(s | t) == sim >= compact_windows.SIMILARITY
             found += 1
     assert found > 100
+
+
+def test_passages_with_an_insertion_in_either_order():
+    """Jaccard decides on passages of different lengths, whichever side they are looked up from."""
+    a, b, c = np.arange(27, dtype=np.uint64), np.arange(100, 104, dtype=np.uint64), np.arange(27, 50, dtype=np.uint64)
+    for gone, new in ((4, 7), (2, 9)):
+        short = np.concatenate([a[: 27 - gone], b[:gone], c])
+        long_ = np.concatenate([a[: 27 - gone], np.arange(200, 200 + new, dtype=np.uint64), c])
+        for x, y in ((short, long_), (long_, short)):
+            found = compact_windows.match(x, y)
+            assert len(found) == 1 and found[0][4] == (50 - gone) / (50 + new) >= compact_windows.SIMILARITY
