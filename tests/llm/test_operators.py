@@ -368,3 +368,25 @@ def test_passages_with_an_insertion_in_either_order():
         for x, y in ((short, long_), (long_, short)):
             found = compact_windows.match(x, y)
             assert len(found) == 1 and found[0][4] == (50 - gone) / (50 + new) >= compact_windows.SIMILARITY
+
+
+def _signed(spark, monkeypatch, texts, rows):
+    """Passages of texts where signatures are those of rows (key, a, la, ra, b, lb, rb, p, lp, rp)."""
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(compact_windows, "candidates", lambda found: spark.createDataFrame(rows, compact_windows.SCHEMA))
+    return {(r.a, r.b) for r in compact_windows.passages(docs).collect()}
+
+
+def test_passages_count_hub_and_predecessor_together(spark, monkeypatch):
+    texts = {1: prose(30, 80), 2: LINE, 3: LINE}
+    rows = [(0, 3, 0, 65, 2, 0, 65, 2, 0, 65), (1, 3, 0, 65, 1, 0, 60, 2, 0, 65)]
+    assert _signed(spark, monkeypatch, texts, rows) == {(3, 2)}
+
+
+def test_passages_of_two_partners(spark, monkeypatch):
+    """The second passage of 3 shares its signatures with hub 1, which is proved through the first only."""
+    other = prose(98, 70)
+    texts = {1: LINE + " " + prose(31, 80), 2: prose(32, 60) + " " + other, 3: LINE + " " + other}
+    first = [(k, 3, 0, 65, 1, 0, 65, 1, 0, 65) for k in (0, 1)]
+    second = [(k, 3, 70, 135, 1, 70, 140, 2, 60, 125) for k in (2, 3)]
+    assert _signed(spark, monkeypatch, texts, first + second) == {(3, 1), (3, 2)}
