@@ -390,3 +390,14 @@ def test_passages_of_two_partners(spark, monkeypatch):
     first = [(k, 3, 0, 65, 1, 0, 65, 1, 0, 65) for k in (0, 1)]
     second = [(k, 3, 70, 135, 1, 70, 140, 2, 60, 125) for k in (2, 3)]
     assert _signed(spark, monkeypatch, texts, first + second) == {(3, 1), (3, 2)}
+
+
+def test_token_records_with_added_tokens():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(WORDS), token_records.Encoder(WORDS)
+    texts = ["a <|endoftext|> b", "", "Plain text.", "x<|startoftext|>Y<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext", "|> last"]
+    off = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    ids, at = enc.encode(np.frombuffer("".join(texts).encode(), np.uint8), off)
+    assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[: at[1]].tolist() == [320, 49407, 321]

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import array
 import os
+import re
 import struct
 import zlib
 
@@ -76,7 +77,8 @@ UNIT[[10, 32]] = 0
 
 class Encoder:
     """Ids of texts. The tokenizer drops white space, ignores case and never joins a letter and a sign, so texts fall into
-    units that the library encodes on their own; each unit is encoded once a slice, and WORDS of them are kept."""
+    units that the library encodes on their own; each unit is encoded once a slice, and WORDS of them are kept. Rows that
+    hold the name of one of the vocabulary's added tokens are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -85,6 +87,8 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.width = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
+        # in lower case, as an added token may be looked up in normalised text
+        self.added = [C.LOWER[np.frombuffer(t.content.encode(), np.uint8)].tobytes() for t in self.tok.get_added_tokens_decoder().values()]
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows in one array, and the offsets of rows in it."""
@@ -118,7 +122,14 @@ class Encoder:
         many = size[inverse]
         run = np.concatenate([[0], np.cumsum(many)])
         ids = flat[np.arange(run[-1]) + np.repeat(start[inverse] - run[:-1], many)]
-        return ids, run[np.searchsorted(s, off)]
+        cut = run[np.searchsorted(s, off)]
+        whole = sorted({C.row_of(off, m.start()) for t in self.added for m in re.finditer(re.escape(t), raw)})
+        if not whole:
+            return ids, cut
+        each = np.split(ids, cut[1:-1])
+        for k in whole:
+            each[k] = np.array(self.tok.encode(data[off[k] : off[k + 1]].tobytes().decode(), add_special_tokens=False).ids, self.width)
+        return np.concatenate(each), np.cumsum([0, *map(len, each)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
