@@ -401,3 +401,17 @@ def test_token_records_with_added_tokens():
     ids, at = enc.encode(np.frombuffer("".join(texts).encode(), np.uint8), off)
     assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert ids[: at[1]].tolist() == [320, 49407, 321]
+
+
+def test_near_copies_with_a_tail_cut_off_or_text_appended(spark):
+    """Isolated pairs at the least similarity: none may be missed."""
+    rng, texts = np.random.default_rng(8), {}
+    for k in range(60):
+        words = prose(1000 + k, int(rng.integers(80, 400))).split()
+        n = len(words)
+        other = words[: n - int(n * rng.uniform(0.14, 0.2))] if k % 2 else words + prose(2000 + k, int(n * rng.uniform(0.14, 0.25))).split()
+        texts |= {2 * k: " ".join(words), 2 * k + 1: " ".join(other)}
+    s = {k: simhash.shingle_set(v) for k, v in texts.items()}
+    want = groups(s, [(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])])
+    assert sum(k != v for k, v in want.items()) > 40
+    assert dict(simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).select("doc_id", "component").collect()) == want

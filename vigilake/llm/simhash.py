@@ -93,29 +93,15 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: i
     return rows.join(named, F.col("fp") == F.col("of"), "left").select(F.col("id").alias(key), "fp", "component")
 
 
-#: Near copies: the fingerprint has four longs, and segment i covers WIDTH bits from bit i * 256 / TABLES on.
-TABLES, WIDTH, SIMILARITY, SHINGLE = 12, 28, 0.8, 5
-
-
-def word_fingerprints(raw: bytes, off: list[int]) -> np.ndarray:
-    """For each row four longs: the majority of 256-bit hashes over its distinct words."""
-    dig, each = xxhash.xxh3_128_digest, []
-    for a, b in zip(off[:-1], off[1:]):
-        words = set(raw[a:b].lower().split())
-        each.append(b"".join([dig(w, 1) + dig(w, 2) for w in words]))
-    ends = np.cumsum([0, *(len(x) // 32 for x in each)])
-    h = np.frombuffer(b"".join(each), "<u8").reshape(-1, 4)
-    return np.stack([majority(np.ascontiguousarray(h[:, i]), ends) for i in range(4)], axis=1)
-
-
-def segments(fp: np.ndarray) -> np.ndarray:
-    """TABLES values of WIDTH bits from each 256-bit fingerprint."""
-    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), 32), axis=1, bitorder="little").astype(np.int64)
-    out = np.zeros((len(fp), TABLES), np.int64)
-    for i in range(TABLES):
-        for j in range(WIDTH):
-            out[:, i] |= bits[:, (i * 256 // TABLES + j) % 256] << j
-    return out
+#: Near copies: the least Jaccard similarity of sets of SHINGLE-word shingles.
+SIMILARITY, SHINGLE = 0.8, 5
+#: One of so many texts is looked at for common shingles, and most of these that are told apart.
+SAMPLE, COMMON = 16, 200_000
+
+
+def prefix(n: int) -> int:
+    """How many of n shingles, in an order that all texts share, hold one of any text that is similar enough."""
+    return n - -(-4 * n // 5) + 1
 
 
 def shingle_set(text: str | None) -> set[int]:
@@ -140,25 +126,71 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return x.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def alike_in_size():
+    """Sets of which the smaller holds at least 4/5 of the larger one's count; f has the count in its upper half."""
+    n, m = F.shiftrightunsigned("f", 32), F.shiftrightunsigned("other_f", 32)
+    return F.least(n, m) * 5 >= F.greatest(n, m) * 4
+
+
+def shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """The sorted shingles of each row."""
+    raw, at = data.tobytes(), off.tolist()
+    return [np.unique(np.array(hashes(raw[a:b], SHINGLE), np.uint64)) for a, b in zip(at[:-1], at[1:])]
+
+
+def common_shingles(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that are common in a sample of the texts, and their counts. They only set the order of prefixes."""
+    some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("id", "text")
+    each = C.map_texts(some, "h long", lambda part, data, off: {"h": np.concatenate(shingle_sets(data, off)).view(np.int64)}, limit=1 << 20)
+    found = each.groupBy("h").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def rarest_first(s: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Shingles in the order that all texts share: by their count in the sample, then by hash."""
+    if not len(common):
+        return s
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    return s[np.argsort(np.where(common[at] == s, count[at], 0), kind="stable")]
+
+
+def entries(nodes: DataFrame) -> DataFrame:
+    """bucket, id, f: each text under the shingles of its prefix; f is the count of its set and half a fingerprint."""
+    common, count = common_shingles(nodes)
+
+    def kernel(part, data, off):
+        sets = [rarest_first(s, common, count) for s in shingle_sets(data, off)]
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        f = n << 32 | (majority(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])) >> np.uint64(32)).astype(np.int64)
+        many = np.fromiter((prefix(k) if k else 0 for k in n.tolist()), np.int64, len(sets))
+        first = np.concatenate([s[:k] for s, k in zip(sets, many.tolist())])
+        return {"bucket": first.view(np.int64), "id": np.repeat(np.asarray(part.column(0)).astype(np.int64), many), "f": np.repeat(f, many)}
+
+    return C.map_texts(nodes.select("id", "text"), "bucket long, id long, f long", kernel, limit=1 << 20)
+
+
 def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, component for every row with a key: groups linked by similarity of five-word shingles.
 
-    Candidates come from multi-index hashing of 256-bit fingerprints over distinct words: found surely up to 11 differing
-    bits, and with a chance of over 0.99 at the 16 bits that pairs at the least similarity show at the median. Texts of the
-    same words in order are one node; null and empty texts are alike. Rows without a key are left out.
+    Candidates come from prefixes: two sets of which 4/5 of the union is common share one of the first n - ceil(4 n / 5) + 1
+    shingles of each in any common order, here rarest first, so no pair is missed. Texts of the same words in order
+    are one node; null and empty texts are alike. Rows without a key are left out.
     """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def kernel(part, data, off):
         raw, at = data.tobytes(), off.tolist()
-        fp = word_fingerprints(raw, at)
-        same = [xxhash.xxh3_128_digest(b" ".join(raw[a:b].lower().split())) for a, b in zip(at[:-1], at[1:])]
-        return {"id": part.column(0), "same": same, "f": fp[:, 0].view(np.int64).copy(), "segs": list(segments(fp))}
+        return {"id": part.column(0), "same": [xxhash.xxh3_128_digest(b" ".join(raw[a:b].lower().split())) for a, b in zip(at[:-1], at[1:])]}
 
-    marked = C.cut(C.map_texts(rows, "id long, same binary, f long, segs array<long>", kernel, limit=1 << 20), "words")
-    nodes = C.cut(marked.groupBy("same").agg(F.min(F.struct("id", "f", "segs")).alias("x")).select("same", "x.*"), "nodes")
-    hits = C.cut(meet(nodes.select("id", "f", "segs"), WIDTH), "hits")
+    marked = C.cut(C.map_texts(rows, "id long, same binary", kernel, limit=1 << 20), "words")
+    nodes = C.cut(marked.groupBy("same").agg(F.min("id").alias("id")), "nodes")
     texts = rows.join(nodes.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    roots = components(link_buckets(hits, within(16), lambda pairs: similar(pairs, texts))).withColumnRenamed("id", "rid")
+    entered = C.cut(entries(texts), "entries")
+    tables = entered.groupBy("bucket").agg(F.min(F.struct("id", "f")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    tables = tables.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.f").alias("hub_f"))
+    hits = C.cut(entered.join(tables, "bucket").select("bucket", "id", "f", F.lit(True).alias("home"), "hub", "hub_f"), "hits")
+    roots = components(link_buckets(hits, alike_in_size(), lambda pairs: similar(pairs, texts))).withColumnRenamed("id", "rid")
     named = nodes.join(roots, F.col("id") == F.col("rid"), "left").select("same", F.coalesce("root", "id").alias("component"))
     return marked.select("id", "same").join(named, "same").select(F.col("id").alias(key), "component")
