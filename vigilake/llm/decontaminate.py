@@ -5,16 +5,21 @@ NEEDLE bytes if it is longer. A needle of m bytes that occurs with at most k edi
 the place, all within 2 k + 1 diagonals. So shared q-grams are counted first by stretches of text, then for each needle
 in overlapping diagonal bands; bands that reach the bound are verified by banded alignment.
 
-Needles are broadcast in blocks of at most BLOCK_BYTES, and each block reads all documents once. Null and empty texts
-contain nothing; null, empty or sign-only items match nothing, and items under SHORT bytes must match exactly between
-word bounds. Repeated document rows get a row each. Other columns are ignored.
+Items lie in blocks of about BLOCK_BYTES in the shared folder. Documents are read once: a worker takes a batch of them
+through all blocks and holds the needles of one block at a time, so memory does not grow with the benchmark, and a document
+gets one row whatever the size of blocks.
+
+Null and empty texts contain nothing; null, empty or sign-only items match nothing, and items under SHORT bytes must match
+exactly between word bounds. Items without an id count as one item whose id is null. A needle gives every place in a row
+that does not overlap a better one. Repeated document rows get a row each. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,7 +205,7 @@ def _none():
 
 
 def places(index: Needles, data: np.ndarray, off: np.ndarray):
-    """item, row, start and end byte in data, edits of every verified place, the best one for each needle and row."""
+    """item, row, start and end byte in data, edits of every verified place, less those that overlap a better one of their needle."""
     text, new, place = plain(data, off)
     if not len(text):
         return _none()
@@ -218,39 +223,81 @@ def places(index: Needles, data: np.ndarray, off: np.ndarray):
             needle, row, start, end, edits = (np.concatenate([a, b]) for a, b in zip((needle, row, start, end, edits), np.array(more).T))
     order = np.lexsort([start, edits, row, needle])
     needle, row, start, end, edits = (x[order] for x in (needle, row, start, end, edits))
-    one = np.concatenate([[True], (needle[1:] != needle[:-1]) | (row[1:] != row[:-1])]) if len(needle) else np.zeros(0, bool)
-    item = np.array(index.item, np.int64)[needle[one]] if one.any() else np.zeros(0, np.int64)
-    return item, row[one], place[start[one]], place[np.maximum(end[one] - 1, start[one])] + 1, edits[one]
-
-
-def blocks(benchmark: DataFrame, item: str, text: str):
-    """Items in blocks of at most BLOCK_BYTES, read a partition at a time."""
-    rows = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("long"), text).distinct()
-    block, size = [], 0
-    for ident, body in rows.toLocalIterator():
-        raw = body.encode()
-        if block and size + len(raw) > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((ident, raw))
-        size += len(raw)
-    if block:
-        yield block
+    one = _apart(needle, row, start, end)
+    return np.array(index.item, np.int64)[needle[one]] if one.any() else np.zeros(0, np.int64), row[one], place[start[one]], place[np.maximum(end[one] - 1, start[one])] + 1, edits[one]
+
+
+def _apart(needle, row, start, end) -> np.ndarray:
+    """Places of a needle in a row that do not overlap a better one; rows are in order, the best place first."""
+    keep = np.concatenate([[True], (needle[1:] != needle[:-1]) | (row[1:] != row[:-1])]) if len(needle) else np.zeros(0, bool)
+    taken: list[tuple[int, int]] = []
+    for i, (head, a, z) in enumerate(zip(keep.tolist(), start.tolist(), end.tolist())):
+        if head:
+            taken = [(a, z)]
+        elif all(z <= x or a >= y for x, y in taken):
+            taken.append((a, z))
+            keep[i] = True
+    return keep
+
+
+BLOCK_SCHEMA = pa.schema([("item", pa.int64()), ("text", pa.binary())])
+
+
+def blocks(benchmark: DataFrame, item: str, text: str) -> list[str]:
+    """Files of the shared folder that hold the distinct items in blocks of about BLOCK_BYTES each; tasks write them, the driver
+    gets their names. An item longer than a block is one of its own."""
+    spark = benchmark.sparkSession
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).distinct()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+    if not size:
+        return []
+    folder = C.fresh(spark, "needles")
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        context, held, size, count = TaskContext.get(), [], 0, 0
+
+        def put():
+            # a task that runs again writes files of its own, and only the names of the one that counts come back
+            path = f"{base}/block-{context.partitionId()}-{context.taskAttemptId()}-{count}"
+            with fs.open_output_stream(path) as out, pa.ipc.new_stream(out, BLOCK_SCHEMA) as w:
+                w.write_batch(pa.RecordBatch.from_pylist([{"item": i, "text": t} for i, t in held], BLOCK_SCHEMA))
+            return pa.RecordBatch.from_pydict({"path": [path]})
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                raw = t.encode()
+                if held and size + len(raw) > BLOCK_BYTES:
+                    yield put()
+                    held, size, count = [], 0, count + 1
+                held.append((i, raw))
+                size += len(raw)
+        if held:
+            yield put()
+
+    dealt = rows.repartition(-(-size // BLOCK_BYTES), "item", "text").sortWithinPartitions("item", "text")
+    return sorted(f"{folder}/{r.path.rsplit('/', 1)[-1]}" for r in dealt.mapInArrow(run, "path string").collect())
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """key, contaminated, n_items, items (sorted ids), spans (item, start byte, end byte, edits) of every row of docs."""
+    """key, contaminated, n_items, items (sorted ids, null last), spans (item, start byte, end byte, edits) of every row of docs."""
+    paths = blocks(benchmark, item, item_text)
+
+    def run(batches):
+        for whole in batches:
+            data, off = C.utf8(whole.column(1))
+            found = _found(paths, data, off)
+            item, row, start, end, edits = (np.concatenate(x) for x in zip(*found)) if found else _none()
+            none = item == NO_ITEM
+            order = np.argsort(row, kind="stable")
+            cut = np.searchsorted(row[order], np.arange(len(off))).astype(np.int32)
+            fields = [pa.array(item[order], mask=none[order]), *(pa.array(x[order]) for x in (start - off[row], end - off[row], edits))]
+            spans = pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays(fields, ["item", "start", "end", "edits"]))
+            yield pa.RecordBatch.from_arrays([whole.column(0), spans], ["id", "spans"])
+
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    schema = "id long, items array<long>, starts array<long>, ends array<long>, edits array<long>"
-    out = None
-    for block in blocks(benchmark, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(sorted(block))
-        found = C.map_texts(rows, schema, _kernel(shared), limit=2 << 20)
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        spans = "array<struct<item:long,start:long,end:long,edits:long>>"
-        return rows.select(F.col("id").alias(key), F.lit(False).alias("contaminated"), F.lit(0).alias("n_items"), F.array().cast("array<long>").alias("items"), F.array().cast(spans).alias("spans"))
-    out = out.select("id", F.arrays_zip(F.col("items").alias("item"), F.col("starts").alias("start"), F.col("ends").alias("end"), "edits").alias("spans"))
+    out = rows.mapInArrow(run, "id long, spans array<struct<item:long,start:long,end:long,edits:long>>")
     return out.select(
         F.col("id").alias(key), (F.size("spans") > 0).alias("contaminated"), F.size(F.array_distinct("spans.item")).alias("n_items"),
         F.array_sort(F.array_distinct("spans.item")).alias("items"), F.array_sort("spans").alias("spans"),
@@ -259,41 +306,43 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: st
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows of docs, all columns, that hold no place of any item."""
-    for block in blocks(benchmark, item, item_text):
-        docs = C.filter_texts(docs, _no_place(docs.sparkSession.sparkContext.broadcast(sorted(block))), text=text, limit=2 << 20)
-    return docs
+    paths = blocks(benchmark, item, item_text)
 
+    def run(batches):
+        for whole in batches:
+            data, off = C.utf8(whole.column(whole.schema.get_field_index(text)))
+            free = np.ones(whole.num_rows, bool)
+            for _, row, *_ in _found(paths, data, off):
+                free[row] = False
+            yield whole.filter(pa.array(free))
 
-_INDEXES: dict = {}
-
-
-def _index(key: str, shared) -> Needles:
-    if key not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[key] = Needles(shared.value)
-    return _INDEXES[key]
+    return docs.mapInArrow(run, docs.schema)
 
 
-def _no_place(shared):
-    key = uuid.uuid4().hex
+#: Stands for the id of an item without one.
+NO_ITEM = -(1 << 63)
+_INDEXES: dict[str, Needles] = {}
 
-    def test(data, off):
-        free = np.ones(len(off) - 1, bool)
-        free[places(_index(key, shared), data, off)[1]] = False
-        return free
 
-    return test
-
-
-def _kernel(shared):
-    key = uuid.uuid4().hex
-
-    def kernel(part, data, off):
-        item, row, start, end, edits = places(_index(key, shared), data, off)
-        order = np.argsort(row, kind="stable")
-        cut = np.searchsorted(row[order], np.arange(len(off)))
-        base = off[:-1]
-        split = lambda x: [x[order][a:b] for a, b in zip(cut[:-1], cut[1:])]
-        return {"id": part.column(0), "items": split(item), "starts": split(start - base[row]), "ends": split(end - base[row]), "edits": split(edits)}
-
-    return kernel
+def _index(path: str) -> Needles:
+    """The needles of a block; a worker keeps one block."""
+    if path not in _INDEXES:
+        _INDEXES.clear()
+        fs, at = pafs.FileSystem.from_uri(path)
+        with fs.open_input_stream(at) as f, pa.ipc.open_stream(f) as r:
+            t = r.read_all()
+        items = zip(t.column("item").to_pylist(), t.column("text").to_pylist())
+        _INDEXES[path] = Needles([(NO_ITEM if i is None else i, raw) for i, raw in items])
+    return _INDEXES[path]
+
+
+def _found(paths: list[str], data: np.ndarray, off: np.ndarray) -> list[tuple]:
+    """Places of the items of all blocks in a batch: blocks outside, so that each is read once a batch."""
+    found = []
+    for path in paths:
+        index = _index(path)
+        for i, j in C.slices(off, 2 << 20):
+            item, row, start, end, edits = places(index, data[off[i] : off[j]], off[i : j + 1] - off[i])
+            if len(row):
+                found.append((item, row + i, start + off[i], end + off[i], edits))
+    return found
