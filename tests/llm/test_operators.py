@@ -415,3 +415,52 @@ def test_near_copies_with_a_tail_cut_off_or_text_appended(spark):
     want = groups(s, [(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])])
     assert sum(k != v for k, v in want.items()) > 40
     assert dict(simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).select("doc_id", "component").collect()) == want
+
+
+def test_decontamination_does_not_depend_on_blocks(spark, docs, monkeypatch):
+    """One row a document for any BLOCK_BYTES; items without an id, repeated items and repeated places."""
+    items = [(k, prose(300 + k, 40)) for k in range(30)] + [(None, prose(400, 40)), (7, prose(401, 40)), (7, prose(401, 40))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = {k: prose(500 + k, 30) + " " + items[k][1] + " " + prose(600 + k, 30) for k in range(20)}
+    texts |= {50: items[3][1] + " " + prose(700, 50) + " " + items[3][1], 51: items[30][1], 52: items[1][1] + " " + items[31][1], 53: None, 54: prose(701, 80)}
+    more = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    seen = []
+    for size in (150, 900, 4 << 20):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        seen.append(sorted(map(str, decontaminate.scan(more, bench).collect())))
+        assert {r.doc_id for r in decontaminate.clean(more, bench).collect()} == {53, 54}
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(texts)
+    got = {r.doc_id: r for r in decontaminate.scan(more, bench).collect()}
+    assert all(got[k]["items"] == [k] for k in range(20)) and got[51]["items"] == [None] and got[52]["items"] == [1, 7] and not got[54].contaminated
+    first, last = len(items[3][1]), len(texts[50])
+    assert got[50]["items"] == [3] and min(s.start for s in got[50].spans) < 5 and max(s.end for s in got[50].spans) > last - 5 and any(s.start > first for s in got[50].spans)
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(i.bit_count() & 1) ^ flip] for i in range(n))
+
+
+def test_texts_that_collide_under_polynomial_hashes():
+    from tokenizers import Tokenizer
+
+    texts = [thue_morse(1024) + " " + thue_morse(1024, True), "x " + thue_morse(1024, True), thue_morse(2048) + " " + thue_morse(2048, True)]
+    off, data = np.cumsum([0, *map(len, texts)]), np.frombuffer("".join(texts).encode(), np.uint8)
+    tok = Tokenizer.from_file(WORDS)
+    ids, at = token_records.Encoder(WORDS).encode(data, off)
+    assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    p = sentencepiece_ffbs.pieces(PIECES)
+    assert sentencepiece_ffbs.decode(p, *sentencepiece_ffbs.encode(p, np.arange(3), data, off))[0].tobytes() == data.tobytes()
+    h = C.prefix_hash(data)
+    assert C.span_hash(h, np.array([0]), np.array([1024])) == C.span_hash(h, np.array([1025]), np.array([2049]))
+
+
+def test_token_records_of_another_tokenizer_file():
+    """Units hold for one kind of file only; any other one encodes whole texts."""
+    enc = token_records.Encoder(WORDS)
+    assert enc.units and not token_records.parts_into_units({}) and not token_records.parts_into_units({"normalizer": None, "pre_tokenizer": {"type": "ByteLevel"}})
+    texts = ["It's 'a' b-C", "", "ÇA K-x"]
+    off, data = np.cumsum([0, *(len(t.encode()) for t in texts)]), np.frombuffer("".join(texts).encode(), np.uint8)
+    ids, at = enc.encode(data, off)
+    enc.units = False
+    ids2, at2 = enc.encode(data, off)
+    assert ids.tolist() == ids2.tolist() and at.tolist() == at2.tolist()

@@ -27,13 +27,36 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as a URI; one is set only where the session has none."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         set_to = tempfile.mkdtemp(prefix="vigilake-")
         spark.sparkContext.setCheckpointDir(set_to)
     return set_to if "://" in set_to or set_to.startswith("file:") else f"file://{set_to}"
 
 
+#: Folders that fresh() has named and sweep() has not deleted, in order.
+_MADE: list[str] = []
+
+
 def fresh(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def mark() -> int:
+    """A point in time for sweep()."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the folders named after the mark, but for the one that keep reads: a stage's intermediate tables."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    kept = {path(f).getParent().toUri().getPath() for f in keep.inputFiles()}
+    for folder in _MADE[since:]:
+        at = path(folder)
+        if at.toUri().getPath() not in kept:
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _MADE[since:]
 
 
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
@@ -146,6 +169,58 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (h[end] - h[start]) * inv[start]
 
 
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a number; zeros follow the end."""
+    return np.ndarray((len(data) + 1,), "<u8", data.tobytes() + bytes(8), strides=(1,))
+
+
+_LOW = np.concatenate([(np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)) - np.uint64(1), [~np.uint64(0)]])
+
+
+def same_words(wx: np.ndarray, start: np.ndarray, wy: np.ndarray, other: np.ndarray, size: int) -> np.ndarray:
+    """Whether size bytes from start and from other on are equal, by words_at() of both sides."""
+    out = np.ones(len(start), bool)
+    for at in range(0, size, 8):
+        out &= (wx[start + at] ^ wy[np.minimum(other + at, len(wy) - 1)]) & _LOW[min(size - at, 8)] == 0
+    return out
+
+
+def same_bytes(x: np.ndarray, start: np.ndarray, y: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether x[start:start + size] and y[other:other + size] are equal, for each row: eight bytes a step."""
+    wx = words_at(x)
+    wy = wx if y is x else words_at(y)
+    out = np.ones(len(start), bool)
+    long_ = size > 256
+    for i in np.flatnonzero(long_).tolist():
+        out[i] = np.array_equal(x[start[i] : start[i] + size[i]], y[other[i] : other[i] + size[i]])
+    live, at = np.flatnonzero(~long_ & (size > 0)), 0
+    while len(live):
+        left = _LOW[np.minimum(size[live] - at, 8)]
+        out[live] &= (wx[start[live] + at] ^ wy[other[live] + at]) & left == 0
+        at += 8
+        live = live[size[live] > at]
+    return out
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First span of each distinct content, and each span's number among these: by hash, then byte for byte."""
+    h = mix(span_hash(prefix_hash(data), start, end) + (end - start).astype(np.uint64))
+    _, rep, inverse = np.unique(h, return_index=True, return_inverse=True)
+    size, first = end - start, rep[inverse]
+    alike = size == size[first]
+    bad = np.flatnonzero(~alike | ~same_bytes(data, start, data, start[first], np.where(alike, size, 0)))
+    if len(bad):  # other contents under one hash get numbers of their own
+        raw, seen, more = data.tobytes(), {}, []
+        for i in bad.tolist():
+            key = raw[start[i] : end[i]]
+            if key not in seen:
+                seen[key] = len(rep) + len(more)
+                more.append(i)
+            inverse[i] = seen[key]
+        rep = np.concatenate([rep, more])
+    return rep, inverse
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix)."""
     x = x ^ (x >> np.uint64(30))

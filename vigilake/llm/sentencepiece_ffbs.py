@@ -53,6 +53,7 @@ class Pieces:
                 own.append(i)
         self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
         self.off = np.concatenate([[0], np.cumsum([len(r) for r in self.raw])]).astype(np.int64)
+        self.words = C.words_at(self.flat)
         self.logp = -alpha * np.log(rank + 10.0)
         self.logp[self.byte[self.byte >= 0]] = -alpha * np.log(n + 10.0)
         ids = np.array(own)
@@ -75,6 +76,7 @@ class Pieces:
         h = C.prefix_hash(data)
         _, inv = C.powers(n + 1)
         found = []
+        words = C.words_at(data)
         lead = (data & 0xC0) != 0x80
         at = np.flatnonzero(lead)
         size = np.ones(n, np.int64)
@@ -89,9 +91,11 @@ class Pieces:
             some = np.flatnonzero(slot >= 0)
             slot, code, where = slot[some], code[some], at[some]
             for j in range(self.crowd):
-                same = self.key[slot + j] == code
-                s = where[same]
-                found.append((s, s + k, self.ident[slot[same] + j]))
+                same = np.flatnonzero(self.key[slot + j] == code)
+                ident = self.ident[slot[same] + j]
+                sure = C.same_words(words, where[same], self.words, self.off[ident], k) & (self.off[ident + 1] - self.off[ident] == k)
+                s, ident = where[same][sure], ident[sure]
+                found.append((s, s + k, ident))
                 single[s[size[s] == k]] = True
         # characters without a piece of their own: an edge for each byte
         bare = lead & ~single
@@ -151,8 +155,7 @@ def encode(p: Pieces, keys: np.ndarray, data: np.ndarray, off: np.ndarray, seed:
     edge[new] = True
     b = np.flatnonzero(edge)
     begin, end = b[:-1], b[1:]
-    h = C.mix(C.span_hash(C.prefix_hash(text), begin, end)) + (end - begin).astype(np.uint64)
-    _, rep, kind = np.unique(h, return_index=True, return_inverse=True)
+    rep, kind = C.distinct_spans(text, begin, end)
     length = (end - begin)[rep]
     seg = np.concatenate([[0], np.cumsum(length)])
     flat = text[np.arange(seg[-1]) + np.repeat(begin[rep] - seg[:-1], length)]

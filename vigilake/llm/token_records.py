@@ -16,6 +16,7 @@ keep one record a row, ordered by text. An empty table gives one empty result. O
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 import struct
@@ -75,10 +76,25 @@ UNIT[39] = 3
 UNIT[[10, 32]] = 0
 
 
+#: The normalizer and the split for which UNIT holds; any other tokenizer gets whole texts.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def parts_into_units(spec: dict) -> bool:
+    """Whether a tokenizer file drops white space, ignores case and never joins a letter and a sign."""
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = before[0].get("pattern") == {"Regex": SPLIT} and before[0].get("invert") is True and before[0].get("behavior") == "Removed"
+    plain = all(b.get("type") == "ByteLevel" and not b.get("use_regex", True) and not b.get("add_prefix_space", True) for b in before[1:])
+    return (spec.get("normalizer") or {}).get("normalizers") == NORMALIZER and split and plain and not (spec.get("model") or {}).get("dropout")
+
+
 class Encoder:
-    """Ids of texts. The tokenizer drops white space, ignores case and never joins a letter and a sign, so texts fall into
-    units that the library encodes on their own; each unit is encoded once a slice, and WORDS of them are kept. Rows that
-    hold the name of one of the vocabulary's added tokens are encoded whole."""
+    """Ids of texts, as the library gives them for each whole text.
+
+    Where the tokenizer file says that texts fall into units which no token crosses (parts_into_units), each distinct unit is
+    encoded once a slice, and WORDS of them are kept; units are told apart byte by byte. Rows that hold the name of one of the
+    vocabulary's added tokens, and all rows under any other tokenizer file, are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,6 +102,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.width = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        self.units = parts_into_units(json.loads(self.tok.to_str()))
         self.known: dict[bytes, bytes] = {}
         # in lower case, as an added token may be looked up in normalised text
         self.added = [C.LOWER[np.frombuffer(t.content.encode(), np.uint8)].tobytes() for t in self.tok.get_added_tokens_decoder().values()]
@@ -95,6 +112,9 @@ class Encoder:
         n, rows = len(data), len(off) - 1
         if not n:
             return np.zeros(0, self.width), np.zeros(rows + 1, np.int64)
+        if not self.units:
+            each = [self._whole(data[off[k] : off[k + 1]]) for k in range(rows)]
+            return np.concatenate(each), np.cumsum([0, *map(len, each)])
         low = C.LOWER[data]
         kind = UNIT[low]
         edge = np.ones(n + 1, bool)
@@ -104,8 +124,7 @@ class Encoder:
         b = np.flatnonzero(edge)
         own = kind[b[:-1]] > 0
         s, e = b[:-1][own], b[1:][own]
-        h = C.mix(C.span_hash(C.prefix_hash(low), s, e) + (e - s).astype(np.uint64))
-        _, rep, inverse = np.unique(h, return_index=True, return_inverse=True)
+        rep, inverse = C.distinct_spans(low, s, e)
         raw = low.tobytes()
         units = [raw[i:j] for i, j in zip(s[rep].tolist(), e[rep].tolist())]
         new = [w for w in units if w not in self.known]
@@ -128,9 +147,12 @@ class Encoder:
             return ids, cut
         each = np.split(ids, cut[1:-1])
         for k in whole:
-            each[k] = np.array(self.tok.encode(data[off[k] : off[k + 1]].tobytes().decode(), add_special_tokens=False).ids, self.width)
+            each[k] = self._whole(data[off[k] : off[k + 1]])
         return np.concatenate(each), np.cumsum([0, *map(len, each)])
 
+    def _whole(self, text: np.ndarray) -> np.ndarray:
+        return np.array(self.tok.encode(text.tobytes().decode(), add_special_tokens=False).ids, self.width)
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
