@@ -37,8 +37,8 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def link_buckets(hits: DataFrame, near: Column, verify=None) -> DataFrame:
-    """Links(a, b) that leave the same groups as all verified pairs of a bucket would.
+def link_buckets(hits: DataFrame, near: Column) -> DataFrame:
+    """Links(a, b) that leave the same groups as all pairs of a bucket that near() accepts would.
 
     hits has one row for each member of a bucket: bucket, id, f (what pairs are compared by), home (the pair counts
     only if one of its members is at home in the bucket), hub and hub_f (the bucket's smallest member at home). near
@@ -46,15 +46,7 @@ def link_buckets(hits: DataFrame, near: Column, verify=None) -> DataFrame:
     still holds more than one group, so no link between groups is lost, and pairs inside a group are never listed.
     """
     star = hits.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), "f", F.col("hub_f").alias("other_f")).where(near)
-    if verify is None:
-        links = C.cut(star.select("a", "b").distinct(), "star")
-    else:
-        # each id's closest hub first: most ids need no more, and only links between groups are verified then
-        star = C.cut(star.groupBy("a", "b").agg(F.min(F.bit_count(F.col("f").bitwiseXOR(F.col("other_f")))).alias("d")), "star")
-        first = star.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-        first = C.cut(verify(first), "first")
-        more = C.cut(verify(across(star.select("a", "b"), components(first))), "more")
-        links = first.unionAll(more)
+    links = C.cut(star.select("a", "b").distinct(), "star")
     own = hits.join(components(links).withColumnRenamed("id", "gid"), F.col("id") == F.col("gid"), "left").select(
         "bucket", "id", "f", "home", F.coalesce("root", "id").alias("root")
     )
@@ -63,9 +55,7 @@ def link_buckets(hits: DataFrame, near: Column, verify=None) -> DataFrame:
     left = C.cut(own.join(mixed, "bucket"), "mixed")
     x, y = left.where("home"), left.select("bucket", F.col("id").alias("other"), F.col("f").alias("other_f"), F.col("root").alias("other_root"), F.col("home").alias("other_home"))
     pairs = x.join(y, "bucket").where((F.col("root") != F.col("other_root")) & (~F.col("other_home") | (F.col("id") < F.col("other"))) & near)
-    rest = pairs.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    rest = C.cut(verify(rest) if verify else rest, "rest")
-    return links.unionAll(rest)
+    return links.unionAll(C.cut(pairs.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "rest"))
 
 
 def across(links: DataFrame, groups: DataFrame) -> DataFrame:

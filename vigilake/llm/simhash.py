@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.llm import common as C
-from vigilake.llm.linking import components, link_buckets
+from vigilake.llm.compact_windows import shingles
+from vigilake.llm.linking import across, components, link_buckets
 
 SEED = 42
 RADIUS = 2
@@ -97,11 +98,18 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: i
 SIMILARITY, SHINGLE = 0.8, 5
 #: One of so many texts is looked at for common shingles, and most of these that are told apart.
 SAMPLE, COMMON = 16, 200_000
+#: Shingles that prefixes are longer by; a pair shares one more than that.
+MORE = 3
+
+
+def least_common(n):
+    """Shingles that a set of n has in common with any set that is similar enough."""
+    return -(-4 * n // 5)
 
 
 def prefix(n: int) -> int:
-    """How many of n shingles, in an order that all texts share, hold one of any text that is similar enough."""
-    return n - -(-4 * n // 5) + 1
+    """How many of n shingles, in an order that all texts share, hold MORE + 1 of any text that is similar enough."""
+    return min(n, n - least_common(n) + 1 + MORE)
 
 
 def shingle_set(text: str | None) -> set[int]:
@@ -115,10 +123,13 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        last: dict[int, set[int]] = {}
         for batch in batches:
             keep = []
-            for i in range(batch.num_rows):
-                s, t = shingle_set(batch["ta"][i].as_py()), shingle_set(batch["tb"][i].as_py())
+            for i, (a, b) in enumerate(zip(batch["a"].to_pylist(), batch["b"].to_pylist())):
+                if b not in last:
+                    last = {b: shingle_set(batch["tb"][i].as_py())}
+                s, t = shingle_set(batch["ta"][i].as_py()), last[b]
                 both = len(s & t)
                 keep.append(both >= SIMILARITY * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -126,16 +137,13 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return x.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def alike_in_size():
-    """Sets of which the smaller holds at least 4/5 of the larger one's count; f has the count in its upper half."""
-    n, m = F.shiftrightunsigned("f", 32), F.shiftrightunsigned("other_f", 32)
-    return F.least(n, m) * 5 >= F.greatest(n, m) * 4
-
-
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """The sorted shingles of each row."""
-    raw, at = data.tobytes(), off.tolist()
-    return [np.unique(np.array(hashes(raw[a:b], SHINGLE), np.uint64)) for a, b in zip(at[:-1], at[1:])]
+    """The sorted shingles of each row; a row of fewer than SHINGLE words has one."""
+    v, at, s, e, words = shingles(data, off)
+    out = [np.unique(v[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+    for r in np.flatnonzero((np.diff(at) == 0) & (np.diff(words) > 0)).tolist():
+        out[r] = np.array(hashes(data[off[r] : off[r + 1]].tobytes(), SHINGLE), np.uint64)
+    return out
 
 
 def common_shingles(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -157,27 +165,45 @@ def rarest_first(s: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.nda
 
 
 def entries(nodes: DataFrame) -> DataFrame:
-    """bucket, id, f: each text under the shingles of its prefix; f is the count of its set and half a fingerprint."""
+    """bucket, id, f: each text under the shingles of its prefix; f is the count of its set (upper half) and the place in its order."""
     common, count = common_shingles(nodes)
 
     def kernel(part, data, off):
         sets = [rarest_first(s, common, count) for s in shingle_sets(data, off)]
         n = np.fromiter(map(len, sets), np.int64, len(sets))
-        f = n << 32 | (majority(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])) >> np.uint64(32)).astype(np.int64)
-        many = np.fromiter((prefix(k) if k else 0 for k in n.tolist()), np.int64, len(sets))
+        many = np.fromiter((prefix(k) for k in n.tolist()), np.int64, len(sets))
         first = np.concatenate([s[:k] for s, k in zip(sets, many.tolist())])
-        return {"bucket": first.view(np.int64), "id": np.repeat(np.asarray(part.column(0)).astype(np.int64), many), "f": np.repeat(f, many)}
+        place = np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many)
+        return {"bucket": first.view(np.int64), "id": np.repeat(np.asarray(part.column(0)).astype(np.int64), many), "f": np.repeat(n << 32, many) | place}
 
     return C.map_texts(nodes.select("id", "text"), "bucket long, id long, f long", kernel, limit=1 << 20)
 
 
+def candidates(met: DataFrame) -> DataFrame:
+    """a, b, shared from met(a, b, f, other_f), one row for each prefix shingle that two texts share: pairs that may be similar.
+
+    A pair that is similar enough has at least 4/5 of the larger set in common, so its prefixes share MORE + 1 shingles (all
+    that are common, if these are fewer). After the last shared one, at most what is left of either set can be common too.
+    """
+    size, place = (lambda f: F.shiftrightunsigned(f, 32)), (lambda f: F.col(f).bitwiseAND(F.lit((1 << 32) - 1)))
+    alike = met.where(F.least(size("f"), size("other_f")) * 5 >= F.greatest(size("f"), size("other_f")) * 4)
+    per = alike.groupBy("a", "b", size("f").alias("n"), size("other_f").alias("m")).agg(F.count("*").alias("shared"), F.max(place("f")).alias("i"), F.max(place("other_f")).alias("j"))
+    larger = F.greatest("n", "m")
+    most = F.col("shared") + F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j"))
+    return per.where((F.col("shared") >= F.least(F.lit(MORE + 1), larger - F.floor(larger / 5))) & (most * 9 >= (F.col("n") + F.col("m")) * 4)).select("a", "b", "shared")
+
+
 def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, component for every row with a key: groups linked by similarity of five-word shingles.
 
-    Candidates come from prefixes: two sets of which 4/5 of the union is common share one of the first n - ceil(4 n / 5) + 1
-    shingles of each in any common order, here rarest first, so no pair is missed. Texts of the same words in order
-    are one node; null and empty texts are alike. Rows without a key are left out.
+    Candidates come from prefixes: of two sets of which 4/5 of the union is common, the first n - ceil(4 n / 5) + 1 + MORE
+    shingles of each in any common order, here rarest first, share MORE + 1, so no pair is missed. Members of a shingle are
+    compared with its hub first (the smallest id), each text with the hub it shares most with and then with those in other
+    groups; where a shingle still holds more than one group, pairs across groups are compared. Every pair is verified on its
+    whole texts. Texts of the same words in order are one node; null and empty texts are alike. Rows without a key are left out;
+    an empty table gives an empty result; other columns are ignored.
     """
+    spark = docs.sparkSession
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def kernel(part, data, off):
@@ -186,11 +212,24 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
     marked = C.cut(C.map_texts(rows, "id long, same binary", kernel, limit=1 << 20), "words")
     nodes = C.cut(marked.groupBy("same").agg(F.min("id").alias("id")), "nodes")
-    texts = rows.join(nodes.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    since = C.mark()
+    texts = C.cut(rows.join(nodes.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     entered = C.cut(entries(texts), "entries")
     tables = entered.groupBy("bucket").agg(F.min(F.struct("id", "f")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    tables = tables.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.f").alias("hub_f"))
-    hits = C.cut(entered.join(tables, "bucket").select("bucket", "id", "f", F.lit(True).alias("home"), "hub", "hub_f"), "hits")
-    roots = components(link_buckets(hits, alike_in_size(), lambda pairs: similar(pairs, texts))).withColumnRenamed("id", "rid")
-    named = nodes.join(roots, F.col("id") == F.col("rid"), "left").select("same", F.coalesce("root", "id").alias("component"))
+    hits = C.cut(entered.join(tables.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.f").alias("hub_f")), "bucket"), "hits")
+    star = hits.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), "f", F.col("hub_f").alias("other_f"))
+    star = C.cut(candidates(star), "star")
+    best = star.groupBy("a").agg(F.max_by("b", F.struct("shared", F.negate("b"))).alias("b"))
+    first = C.cut(similar(best, texts), "first")
+    links = first.unionAll(C.cut(similar(across(star.select("a", "b"), components(first)), texts), "more"))
+    own = hits.join(components(links).withColumnRenamed("id", "gid"), F.col("id") == F.col("gid"), "left").select("bucket", "id", "f", F.coalesce("root", "id").alias("root"))
+    own = C.cut(own, "grouped")
+    mixed = own.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    left = C.cut(own.join(mixed, "bucket"), "mixed")
+    other = left.select("bucket", F.col("id").alias("b"), F.col("f").alias("other_f"), F.col("root").alias("other_root"))
+    met = left.withColumnRenamed("id", "a").join(other, "bucket").where("root <> other_root and a < b").select("a", "b", "f", "other_f")
+    links = links.unionAll(C.cut(similar(candidates(met).select("a", "b"), texts), "rest"))
+    roots = components(links).withColumnRenamed("id", "rid")
+    named = C.cut(nodes.join(roots, F.col("id") == F.col("rid"), "left").select("same", F.coalesce("root", "id").alias("component")), "named")
+    C.sweep(spark, since, named)
     return marked.select("id", "same").join(named, "same").select(F.col("id").alias(key), "component")
