@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from vigilake.llm import common as C
-from vigilake.llm import compact_windows, decontaminate, flac, language_crf, license_scan, linking, quality_nbsvm, sentencepiece_ffbs, simhash, suffix_dedup, token_records
+from vigilake.llm import compact_windows, decontaminate, flac, language_crf, license_scan, linking, quality_nbsvm, sentencepiece_ffbs, shingles, simhash, suffix_dedup, token_records
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, fp long, segs string"
@@ -370,26 +370,56 @@ def test_passages_with_an_insertion_in_either_order():
             assert len(found) == 1 and found[0][4] == (50 - gone) / (50 + new) >= compact_windows.SIMILARITY
 
 
-def _signed(spark, monkeypatch, texts, rows):
-    """Passages of texts where signatures are those of rows (key, a, la, ra, b, lb, rb, p, lp, rp)."""
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    monkeypatch.setattr(compact_windows, "candidates", lambda found: spark.createDataFrame(rows, compact_windows.SCHEMA))
-    return {(r.a, r.b) for r in compact_windows.passages(docs).collect()}
-
-
-def test_passages_count_hub_and_predecessor_together(spark, monkeypatch):
-    texts = {1: prose(30, 80), 2: LINE, 3: LINE}
-    rows = [(0, 3, 0, 65, 2, 0, 65, 2, 0, 65), (1, 3, 0, 65, 1, 0, 60, 2, 0, 65)]
-    assert _signed(spark, monkeypatch, texts, rows) == {(3, 2)}
-
-
-def test_passages_of_two_partners(spark, monkeypatch):
-    """The second passage of 3 shares its signatures with hub 1, which is proved through the first only."""
-    other = prose(98, 70)
-    texts = {1: LINE + " " + prose(31, 80), 2: prose(32, 60) + " " + other, 3: LINE + " " + other}
-    first = [(k, 3, 0, 65, 1, 0, 65, 1, 0, 65) for k in (0, 1)]
-    second = [(k, 3, 70, 135, 1, 70, 140, 2, 60, 125) for k in (2, 3)]
-    assert _signed(spark, monkeypatch, texts, first + second) == {(3, 1), (3, 2)}
+def accepted(texts):
+    """All pairs of texts that have a verified passage, by brute force."""
+    tokens = {}
+    for k, t in texts.items():
+        raw = (t or "").encode()
+        tokens[k] = shingles.shingles(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+    owners = collections.defaultdict(list)
+    for k, v in tokens.items():
+        for x in set(v.tolist()):
+            owners[x].append(k)
+    shared = collections.Counter((a, b) for o in owners.values() for i, a in enumerate(o) for b in o[i + 1 :])
+    least = compact_windows.SIMILARITY * compact_windows.LEAST
+    return [(a, b) for (a, b), n in shared.items() if n >= least and (compact_windows.match(tokens[a], tokens[b]) or compact_windows.match(tokens[b], tokens[a]))]
+
+
+def linked(spark, texts):
+    return {r.doc_id: r.class_id for r in compact_windows.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()}
+
+
+def test_passages_around_a_template(spark):
+    """Pairs share 52 words around 40 words that all texts share: the template must neither link the rest nor hide the pairs."""
+    template, texts = prose(900, 40), {}
+    for k in range(50):
+        body = prose(910 + k, 6) + " " + template + " " + prose(1110 + k, 6)
+        for side in (0, 1):
+            texts[2 * ((k * 37) % 50) + side] = prose(2000 + 2 * k + side, 30) + " " + body + " " + prose(3000 + 2 * k + side, 30)
+    got = linked(spark, texts)
+    assert got == groups(texts, accepted(texts)) and sum(k != v for k, v in got.items()) == 50
+
+
+def test_passages_of_star_shaped_families(spark):
+    """Copies with one word changed each are near their original and not always near each other; ids are shuffled."""
+    rng, texts = np.random.default_rng(6), {}
+    ids = rng.permutation(20 * 21).tolist()
+    for f in range(20):
+        words = prose(5000 + f, 60).split()
+        for c in range(21):
+            own = list(words)
+            if c:
+                own[int(rng.integers(60))] = f"changed{c}"
+            k = ids.pop()
+            texts[k] = prose(6000 + k, 40) + " " + " ".join(own) + " " + prose(7000 + k, 25)
+    assert linked(spark, texts) == groups(texts, accepted(texts))
+
+
+def test_passages_do_not_depend_on_slices(spark, monkeypatch):
+    texts = {k: prose(8000 + k, 30) + " " + LINE + " " + prose(8100 + k, 30) for k in range(12)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = [sorted(map(tuple, compact_windows.classes(d).select("doc_id", "class_id").collect())) for d in (frame.coalesce(1), frame.repartition(12))]
+    assert got[0] == got[1] == [(k, 0) for k in range(12)]
 
 
 def test_token_records_with_added_tokens():

@@ -58,8 +58,8 @@ def link_buckets(hits: DataFrame, near: Column) -> DataFrame:
     return links.unionAll(C.cut(pairs.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "rest"))
 
 
-def across(links: DataFrame, groups: DataFrame) -> DataFrame:
-    """Those of links(a, b) whose ends are in different groups(id, root); an id in no group is its own."""
+def across(links: DataFrame, groups: DataFrame, *more: str) -> DataFrame:
+    """Those of links(a, b, more) whose ends are in different groups(id, root); an id in no group is its own."""
     x = links.join(groups.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left")
     x = x.join(groups.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
-    return x.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    return x.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", *more)

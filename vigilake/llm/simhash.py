@@ -18,27 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.llm import common as C
-from vigilake.llm.compact_windows import shingles
 from vigilake.llm.linking import across, components, link_buckets
+from vigilake.llm.shingles import SHINGLE, common_shingles, hashes, rarest_first, shingle_sets
 
-SEED = 42
 RADIUS = 2
 
 
-def hashes(text: bytes, k: int) -> list[int]:
-    """XXH64 of each k-word shingle, repeats included; fewer words: of the whole sequence; no word: none."""
-    words = text.lower().split()
-    n = len(words)
-    if not n:
-        return []
-    joined, dig = b" ".join(words), xxhash.xxh64_intdigest
-    if n <= k:
-        return [dig(joined, SEED)]
-    size = np.fromiter(map(len, words), np.int64, n)
-    end = np.cumsum(size + 1) - 1
-    return [dig(joined[a:b], SEED) for a, b in zip((end - size).tolist(), end[k - 1 :].tolist())]
-
-
 def majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For rows h[at[i]:at[i + 1]] of 64-bit hashes, the bits set in over half of them; none: zero."""
     out = np.zeros(len(at) - 1, "<u8")
@@ -95,9 +80,7 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: i
 
 
 #: Near copies: the least Jaccard similarity of sets of SHINGLE-word shingles.
-SIMILARITY, SHINGLE = 0.8, 5
-#: One of so many texts is looked at for common shingles, and most of these that are told apart.
-SAMPLE, COMMON = 16, 200_000
+SIMILARITY = 0.8
 #: Shingles that prefixes are longer by; a pair shares one more than that.
 MORE = 3
 
@@ -137,33 +120,6 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return x.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """The sorted shingles of each row; a row of fewer than SHINGLE words has one."""
-    v, at, s, e, words = shingles(data, off)
-    out = [np.unique(v[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-    for r in np.flatnonzero((np.diff(at) == 0) & (np.diff(words) > 0)).tolist():
-        out[r] = np.array(hashes(data[off[r] : off[r + 1]].tobytes(), SHINGLE), np.uint64)
-    return out
-
-
-def common_shingles(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that are common in a sample of the texts, and their counts. They only set the order of prefixes."""
-    some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("id", "text")
-    each = C.map_texts(some, "h long", lambda part, data, off: {"h": np.concatenate(shingle_sets(data, off)).view(np.int64)}, limit=1 << 20)
-    found = each.groupBy("h").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h, n = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def rarest_first(s: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Shingles in the order that all texts share: by their count in the sample, then by hash."""
-    if not len(common):
-        return s
-    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-    return s[np.argsort(np.where(common[at] == s, count[at], 0), kind="stable")]
-
-
 def entries(nodes: DataFrame) -> DataFrame:
     """bucket, id, f: each text under the shingles of its prefix; f is the count of its set (upper half) and the place in its order."""
     common, count = common_shingles(nodes)
@@ -183,10 +139,12 @@ def candidates(met: DataFrame) -> DataFrame:
     """a, b, shared from met(a, b, f, other_f), one row for each prefix shingle that two texts share: pairs that may be similar.
 
     A pair that is similar enough has at least 4/5 of the larger set in common, so its prefixes share MORE + 1 shingles (all
-    that are common, if these are fewer). After the last shared one, at most what is left of either set can be common too.
+    that are common, if these are fewer). Before and behind each shared one, at most what either set has there can be common too.
     """
     size, place = (lambda f: F.shiftrightunsigned(f, 32)), (lambda f: F.col(f).bitwiseAND(F.lit((1 << 32) - 1)))
-    alike = met.where(F.least(size("f"), size("other_f")) * 5 >= F.greatest(size("f"), size("other_f")) * 4)
+    n, m, i, j = size("f"), size("other_f"), place("f"), place("other_f")
+    around = F.least(i, j) + 1 + F.least(n - 1 - i, m - 1 - j)
+    alike = met.where((F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (around * 9 >= (n + m) * 4))
     per = alike.groupBy("a", "b", size("f").alias("n"), size("other_f").alias("m")).agg(F.count("*").alias("shared"), F.max(place("f")).alias("i"), F.max(place("other_f")).alias("j"))
     larger = F.greatest("n", "m")
     most = F.col("shared") + F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j"))
