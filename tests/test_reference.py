@@ -142,13 +142,13 @@ def test_findings_pipeline(spark, tmp_path):
     marks = spark.createDataFrame([("docs/a.dart", 1, "*"), ("b.js", 1, "other")], "file string, line int, code string")
     assert findings.suppressed(found, marks).count() == 2
     assert {r.severity for r in findings.quieter(found).where("code = 'unsafe-eval'").collect()} == {"medium"}
-    assert findings.context_hash(found, corpus.lines(files)).count() == 3
+    assert findings.context_hash(found, files).count() == 3
     reports.sarif(found).write.text(str(tmp_path / "s"))
     doc = json.loads("".join(p.read_text() for p in (tmp_path / "s").glob("part-*")))
     assert len(doc["runs"][0]["results"]) == 3
     (tmp_path / "one.json").write_text(json.dumps(doc))
     assert reports.sarif_keys(spark, str(tmp_path / "one.json")).where("key = 'unsafe-eval:b.js:1'").count() == 1
-    assert reports.csv_lines(found).count() == 3
+    assert reports.csv_lines(found).count() == 4
 
 
 def test_read_tree(spark, tmp_path):

@@ -62,12 +62,88 @@ def byte_size(text: Column) -> Column:
     return n.try_cast("long") * F.when(unit == "k", 1 << 10).when(unit == "m", 1 << 20).when(unit == "g", 1 << 30).otherwise(1)
 
 
-def placeholder(value: Column) -> Column:
-    return F.lower(value).rlike(r"(your[-_ ]|example|changeme|replace|placeholder|dummy|xxx|todo|<[^>]*>|^test)")
+def placeholder(value: Column, path: Column | None = None) -> Column:
+    """A stand-in for a secret, by its words or because it repeats one character."""
+    words = r"(?i)(example|sample|dummy|fake|mock|test|placeholder|changeme|change_me|replace-me|replace_me|not.?a.?secret|your[-_]?|xxx|deadbeef)"
+    both = value if path is None else F.concat_ws("\n", path, value)
+    low = F.lower(value)
+    return both.rlike(words) | low.rlike("^(x+|0+|1+|a+|z+)$") & (F.length(value) >= 16)
 
 
 def non_production(path: Column) -> Column:
-    return F.lower(path).rlike(r"(^|/)(test|tests|example|examples|docs|fixtures|mock|mocks|demo|sample|samples)(/|$)")
+    return F.lower(path).rlike(r"(^|/)(tests?|__tests__|specs?|fixtures?|__fixtures__|mocks?|__mocks__|examples?|samples?|demos?|docs?|documentation|e2e|integration_test|testdata|test-data)(/|$)")
+
+
+def high_entropy_secret(s: Column) -> Column:
+    """A string of 20 to 200 characters that looks random: none of the usual harmless forms, two kinds of characters, 4.5 bits each."""
+    harmless = [
+        r"^[a-fA-F0-9]+$", r"\s", r"\$\{|%[sdifr]|\{[0-9]\}|\{\{", r"^[hH][tT][tT][pP][sS]?://", r"^[./\\]|/\.\./", r"<[a-zA-Z]|</[a-zA-Z]", r"\\.*\\.*\\", r"^[#.\[]|\[\^",
+        r"^eyJ(hbGci|0eXAi|raWQi|0eXBl|zdWIi|pc3Mi|hdWQi)", r"^sha(256|384|512)-", r"^sha\d+-[A-Za-z0-9+/=]+$",
+    ]
+    ok = F.length(s).between(20, 200)
+    for rx in harmless:
+        ok = ok & ~s.rlike(rx)
+    claims = F.try_to_binary(F.rpad(F.translate(s, "-_", "+/"), F.ceil(F.length(s) / 4).cast("int") * 4, "="), F.lit("base64"))
+    json = F.coalesce(F.decode(claims, "UTF-8"), F.lit("")).rlike(r'^\s*\{[\s\S]*"(alg|typ|kid|iss|sub|aud|exp|iat)"\s*:[\s\S]*\}\s*$')
+    ok = ok & ~F.coalesce(s.rlike(r"^[A-Za-z0-9_-]+={0,2}$") & (F.length(s) % 4 != 1) & json, F.lit(False))
+    kinds = sum((s.rlike(k).cast("int") for k in ("[a-z]", "[0-9]", "[^A-Za-z0-9]")), s.rlike("[A-Z]").cast("int"))
+    return ok & (kinds >= 2) & (entropy(s) >= 4.5)
+
+
+def gitlab_severity(severity: Column, confidence: Column) -> Column:
+    return F.when((severity == "high") & (confidence == "high"), "blocker").when(severity == "high", "critical").when(severity == "medium", "major").when(severity == "low", "minor").otherwise("info")
+
+
+def gitlab_security_severity(severity: Column, confidence: Column) -> Column:
+    high, medium = severity == "high", severity == "medium"
+    return F.when(high & (confidence == "high"), "Critical").when(high, "High").when(medium & (confidence == "low"), "Low").when(medium, "Medium").when(severity == "low", "Low").otherwise("Info")
+
+
+def bitbucket_severity(severity: Column, confidence: Column) -> Column:
+    return F.when((severity == "high") & (confidence == "high"), "CRITICAL").when(severity == "high", "HIGH").when(severity == "medium", "MEDIUM").otherwise("LOW")
+
+
+def milliseconds(text: Column) -> Column:
+    """'250ms', '5s', '2m', '1000' as milliseconds; null if it is no duration."""
+    rx = r"^\s*(\d+)\s*(ms|s|m)?\s*$"
+    unit = F.regexp_extract(text, rx, 2)
+    return F.regexp_extract(text, rx, 1).try_cast("long") * F.when(unit == "s", 1000).when(unit == "m", 60_000).otherwise(1)
+
+
+def ttl_seconds(expr: Column) -> Column:
+    """Seconds of a whole number or of Duration(days: 1) and its like; null for anything else."""
+    unit, n = F.regexp_extract(expr, r"Duration\(\s*(days|hours|minutes|seconds)\s*:\s*(\d+)\s*\)", 1), F.regexp_extract(expr, r"Duration\(\s*\w+\s*:\s*(\d+)\s*\)", 1)
+    by_unit = n.try_cast("long") * F.when(unit == "days", 86400).when(unit == "hours", 3600).when(unit == "minutes", 60).when(unit == "seconds", 1)
+    return F.coalesce(F.trim(expr).try_cast("long"), by_unit)
+
+
+def public_ipv6(ip: Column) -> Column:
+    """True for an IPv6 address (one :: at most, groups of four hex digits at most) outside the unspecified, loopback, link-local, unique-local,
+    multicast and documentation ranges."""
+    low = F.lower(ip)
+    groups = F.filter(F.split(low, ":"), lambda g: g != "")
+    short = low.contains("::")
+    well = F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$")) & F.when(short, F.size(groups) < 8).otherwise(F.size(groups) == 8)
+    well = well & ~low.rlike(":::|::.*::|^:[^:]|[^:]:$") & low.rlike("^[0-9a-f:]+$") & low.contains(":")
+    special = low.rlike("^(::1?$|fe[89ab][0-9a-f]:|f[cd][0-9a-f]{2}:|ff[0-9a-f]{2}:|2001:0?db8(:|$))")
+    return well & ~special
+
+
+def html_text(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def unquoted(c: Column) -> Column:
+    """One layer of matching quotes less."""
+    return F.when(c.rlike(r"^'[^\n]*'$|^\"[^\n]*\"$") & (F.length(c) >= 2), F.substr(c, F.lit(2), F.length(c) - 2)).otherwise(c)
+
+
+def plain_symbol(c: Column) -> Column:
+    """a?.b['c'] as a.b.c, without white space."""
+    c = F.regexp_replace(F.regexp_replace(c, r"\s+", ""), r"\?\.", ".")
+    return F.regexp_replace(c, r"\[['\"]?(\w+)['\"]?\]", ".$1")
 
 
 def csv_field(c: Column) -> Column:
@@ -97,3 +173,22 @@ def uuid_of(text: Column) -> Column:
     """A UUID-shaped id from SHA-1."""
     h = F.sha1(text)
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+
+
+#: Why a confidence was given, by confidence and by how the finding was made.
+REASONS = {
+    "high": {"taint": "a flow from a source to this sink was followed", "ast": "the syntax tree shows exactly this construct", "regex": "the text allows hardly any other reading", "config": "a setting states it", "entropy": "the value looks random and has a telling name", "engine": "the graph engine proved a path", "heuristic": "several independent signs agree"},
+    "medium": {"taint": "a flow was followed in part", "ast": "the construct is there, its data is not known", "regex": "a pattern with some context; other uses are possible", "config": "a setting suggests it", "entropy": "the value looks random", "engine": "a path exists under assumptions", "heuristic": "some signs agree"},
+    "low": {"taint": "a flow is possible", "ast": "a construct that is often harmless", "regex": "a pattern alone", "config": "a setting is missing", "entropy": "the value is unusual", "engine": "a path may exist", "heuristic": "one weak sign"},
+}
+
+
+def confidence_reason(confidence: Column, method: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for c, row in REASONS.items() for m, why in row.items() for x in (f"{c}/{m}", why)))
+    return F.coalesce(F.element_at(table, F.concat_ws("/", F.coalesce(confidence, F.lit("")), method)), F.lit("no reason is recorded"))
+
+
+def backend_url(url: Column) -> Column:
+    """https for hosts of the service; hosts on this machine or the local network may use http."""
+    local = r"^https?://(localhost|127\.\d+\.\d+\.\d+|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+|[\w-]+\.local)(:\d+)?(/|$)"
+    return url.rlike(local) | url.rlike(r"^https://[a-z0-9-]+(\.[a-z0-9-]+)+(:\d+)?(/[^\s]*)?$")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 DART, JS, XML, ENV, GRADLE, PUB, ANY = r"\.dart$", r"\.(js|jsx|ts|tsx|html?)$", r"\.(xml|plist)$", r"\.env[^/]*$", r"\.gradle$", r"pubspec\.yaml$", r"."
-SECRETISH = r"(password|passwd|secret|token|api_?key|credential|session|otp|\bpin\b|jwt)"
+SECRETISH = r"(?i:password|passwd|secret|token|api_?key|credential|session|otp|\bpin\b|jwt)"
 LOG = r"(print|debugPrint|log|logger\.\w+|console\.\w+)\s*\("
 
 

@@ -11,25 +11,32 @@ BEFORE, AFTER = 8, 4
 
 
 NEVER = "(?!)"
+#: Lines that start as a comment are not reported.
+COMMENT = r"^\s*(//|\*|/\*)"
 
 
 def _sql(text: str) -> str:
-    """A string literal of Spark SQL."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """A string literal of Spark SQL; a bare $ could start a variable."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
 
 
 def _gates(rules: list[Rule]) -> Column:
     """Numbers of the rules that a whole file may hold; one parsed expression, as making it by calls takes seconds."""
     parts = []
+    by_path: dict[str, list[str]] = {}
     for i, r in enumerate(rules):
-        ok = [f"content RLIKE {_sql(r.regex)}", f"path RLIKE {_sql(r.ext)}"]
+        # line starts and ends count in whole files too
+        ok = [f"content RLIKE {_sql('(?m)' + r.regex)}"]
         ok += [f"content RLIKE {_sql(r.file_has)}"] * bool(r.file_has) + [f"NOT content RLIKE {_sql(r.file_ok)}"] * bool(r.file_ok)
-        parts.append(f"CASE WHEN {' AND '.join(ok)} THEN {i} END")
-    return F.expr(f"array_compact(array({', '.join(parts)}))")
+        by_path.setdefault(r.ext, []).append(f"CASE WHEN {' AND '.join(ok)} THEN {i} END")
+    # the path comes first, once for all rules of a kind of file: texts of other kinds never meet their expressions
+    for ext, cases in by_path.items():
+        parts.append(f"CASE WHEN path RLIKE {_sql(ext)} THEN array({', '.join(cases)}) END")
+    return F.expr(f"array_compact(flatten(array_compact(array({', '.join(parts)}))))")
 
 
 def run(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """kind, code, severity, confidence, category, cwe, message, file, line, text: one row a finding.
+    """kind, code, severity, confidence, category, cwe, message, file, line, col, text: one row a finding; col is where it starts.
 
     Whole files are tested first, and only a file and rule that hold together are taken apart into lines; the rest of a rule
     comes from a table that is as long as the catalogue. Lines of one file and rule follow each other, so each expression
@@ -42,11 +49,11 @@ def run(files: DataFrame, rules: list[Rule]) -> DataFrame:
     hits = files.select("path", "content", F.explode(_gates(rules)).alias("rule"))
     split = hits.join(F.broadcast(spec), "rule").withColumn("ls", F.split("content", "\n")).drop("content")
     rows = split.select("*", F.posexplode("ls").alias("i", "text"))
-    rows = rows.where(F.rlike("text", F.col("rx")) & ~F.rlike("text", F.col("unless")))
+    rows = rows.where(F.rlike("text", F.col("rx")) & ~F.rlike("text", F.col("unless")) & ~F.col("text").rlike(COMMENT))
     first = F.greatest(F.col("i") - BEFORE, F.lit(0))
     context = F.when(F.col("looks"), F.array_join(F.slice("ls", first + 1, F.col("i") + AFTER + 1 - first), "\n")).otherwise(F.lit(""))
     rows = rows.withColumn("context", context).where(~F.col("looks") | F.rlike("context", F.col("near")) & ~F.rlike("context", F.col("near_ok")))
-    return rows.select(*about, F.col("path").alias("file"), (F.col("i") + 1).alias("line"), "text")
+    return rows.select(*about, F.col("path").alias("file"), (F.col("i") + 1).alias("line"), F.expr("instr(text, regexp_substr(text, rx))").alias("col"), "text")
 
 
 def _quote(x: str) -> str:
@@ -56,7 +63,7 @@ def _quote(x: str) -> str:
 def oracle(rules: list[Rule], files_sql: str, columns: str = "kind, code, severity, confidence, category, cwe, message, file, line, text") -> str:
     parts = []
     for r in rules:
-        ok = [f"regexp_matches(text, {_quote(r.regex)})", f"regexp_matches(path, {_quote(r.ext)})"]
+        ok = [f"regexp_matches(text, {_quote(r.regex)})", f"regexp_matches(path, {_quote(r.ext)})", f"NOT regexp_matches(text, {_quote(COMMENT)})"]
         if r.unless:
             ok.append(f"NOT regexp_matches(text, {_quote(r.unless)})")
         if r.file_has:

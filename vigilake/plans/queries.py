@@ -2,62 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.functions import columns as X
-from vigilake.operators import findings as P
-from vigilake.operators import fixpoint, rules
-from vigilake.operators.catalog import RULES, SECRETS, WEB
+from vigilake.operators import fixpoint
+from vigilake.plans import fact_queries, finding_queries, graph_queries, rule_queries  # noqa: F401
+from vigilake.plans.registry import ORACLES, QUERIES, query
 from vigilake.session import cut, table
-from vigilake.sources import corpus
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str):
-    def add(f):
-        QUERIES[name] = f
-        ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def files(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.files_from_documents(table(spark, sf, "documents")).unionAll(corpus.files_from_pages(table(spark, sf, "pages")))
-
-
-# rules: one query for each code and the whole catalogue in one pass
-
-COLUMNS = ["kind", "code", "severity", "confidence", "category", "cwe", "message", "file", "line", "text"]
-
-
-def _rule_query(chosen):
-    return lambda spark, sf: rules.run(files(spark, sf), chosen).select(*COLUMNS)
-
-
-for _kind, _code in sorted({(r.kind, r.code) for r in RULES}):
-    _chosen = [r for r in RULES if (r.kind, r.code) == (_kind, _code)]
-    _name = f"rule_{_kind}_{_code}".replace("-", "_").replace(".", "_")
-    QUERIES[_name], ORACLES[_name] = _rule_query(_chosen), rules.oracle(_chosen, corpus.FILES_SQL)
-QUERIES["rules_catalogue"], ORACLES["rules_catalogue"] = _rule_query(RULES), rules.oracle(RULES, corpus.FILES_SQL)
 
-FOUND = SECRETS + WEB
-
-
-def found(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.run(files(spark, sf), FOUND).select(*COLUMNS)
-
-
-FOUND_SQL = f"WITH findings AS ({rules.oracle(FOUND, corpus.FILES_SQL)})"
-RANK = "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END"
-CONF = "CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END"
-ORDER = f"{RANK}, file, line, message, code, kind, text"
-FNV = "lower(lpad(to_hex(CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(code || chr(1) || file || chr(1) || message, ''), lambda c: unicode(c)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS UBIGINT)), 16, '0'))"
+__all__ = ["ORACLES", "QUERIES"]
 
 
 # lines and scalar functions
@@ -84,25 +38,6 @@ def entropy_top(spark, sf):
     return words.select("word", F.round(X.entropy(F.col("word")), 9).alias("entropy")).orderBy(F.desc("entropy"), "word").limit(50)
 
 
-@query("high_entropy_secret", """SELECT doc_id, word FROM (SELECT doc_id, word, sum(-p * log2(p)) AS h FROM (SELECT doc_id, word, c, count(*) / length(word) AS p FROM (
-  SELECT doc_id, word, unnest(string_split(word, '')) AS c FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/_-]{20,200}')) AS word FROM documents)
-  WHERE NOT regexp_matches(word, '^[0-9a-fA-F]+$') AND regexp_matches(word, '[a-z]') AND (regexp_matches(word, '[A-Z]') OR regexp_matches(word, '[0-9]'))) GROUP BY doc_id, word, c) GROUP BY doc_id, word) WHERE h >= 3.5""")
-def high_entropy_secret(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_-]{20,200}"), 0)).alias("word")).distinct()
-    w = F.col("word")
-    return words.where(~w.rlike("^[0-9a-fA-F]+$") & w.rlike("[a-z]") & (w.rlike("[A-Z]") | w.rlike("[0-9]"))).where(X.entropy(w) >= 3.5)
-
-
-@query("url_validity", "SELECT page_id, url, regexp_matches(url, '^https://[a-z0-9.-]+(/.*)?$') AS valid, regexp_extract(url, '^[a-z]+://([^/:]+)', 1) AS host FROM pages")
-def url_validity(spark, sf):
-    return table(spark, sf, "pages").select("page_id", "url", F.col("url").rlike("^https://[a-z0-9.-]+(/.*)?$").alias("valid"), F.regexp_extract("url", "^[a-z]+://([^/:]+)", 1).alias("host"))
-
-
-@query("path_functions", "SELECT DISTINCT url, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_replace(url, '/[^/]*$', '') AS folder, len(string_split(url, '/')) - 1 AS depth FROM pages")
-def path_functions(spark, sf):
-    return table(spark, sf, "pages").select("url", F.regexp_extract("url", "([^/]*)$", 1).alias("base"), F.regexp_replace("url", "/[^/]*$", "").alias("folder"), (F.size(F.split("url", "/")) - 1).cast("long").alias("depth")).distinct()
-
-
 @query("byte_sizes", "SELECT p_partkey, p_size::BIGINT * CASE p_size % 4 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 WHEN 3 THEN 1073741824 ELSE 1 END AS n_bytes FROM part")
 def byte_sizes(spark, sf):
     text = F.concat(F.col("p_size").cast("string"), F.element_at(F.array(F.lit(" B"), F.lit("kb"), F.lit("MB"), F.lit(" g")), F.col("p_size") % 4 + 1))
@@ -115,226 +50,8 @@ def context_window(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.collect_list("text").over(w), "\n").alias("context"))
 
 
-# findings: order, duplicates, anti joins
-
-@query("finding_fingerprint", f"{FOUND_SQL} SELECT DISTINCT code, file, message, {FNV} AS fingerprint FROM findings")
-def finding_fingerprint(spark, sf):
-    return found(spark, sf).select("code", "file", "message").distinct().withColumn("fingerprint", P.fingerprint())
-
-
-@query("dedupe_keep_first", f"{FOUND_SQL} SELECT kind, code, file, message, severity, line FROM findings QUALIFY row_number() OVER (PARTITION BY code, file, message ORDER BY {ORDER}) = 1")
-def dedupe_keep_first(spark, sf):
-    return P.keep_first(found(spark, sf), "code", "file", "message").select("kind", "code", "file", "message", "severity", "line")
-
-
-@query("dedupe_keep_best", f"{FOUND_SQL} SELECT kind, code, file, severity, confidence, line, message FROM findings QUALIFY row_number() OVER (PARTITION BY file, line ORDER BY {RANK}, {CONF}, {ORDER}) = 1")
-def dedupe_keep_best(spark, sf):
-    return P.keep_best(found(spark, sf), "file", "line").select("kind", "code", "file", "severity", "confidence", "line", "message")
-
-
-@query("findings_top_n", f"{FOUND_SQL} SELECT kind, code, severity, file, line, message FROM findings ORDER BY {ORDER} LIMIT 25")
-def findings_top_n(spark, sf):
-    return P.top_n(found(spark, sf), 25).select("kind", "code", "severity", "file", "line", "message")
-
-
-@query("context_hash", f"""{FOUND_SQL}, numbered AS (SELECT path, CAST(generate_subscripts(ls, 1) AS INTEGER) AS n, trim(regexp_replace(unnest(ls), '[ \\t]+', ' ', 'g'), ' ') AS near
-  FROM (SELECT path, string_split(content, chr(10)) AS ls FROM ({corpus.FILES_SQL.split('AS (', 1)[1][:-1]})))
-SELECT f.kind, f.code, f.file, f.line, substr(sha1(string_agg(near, chr(10) ORDER BY n)), 1, 16) AS context_hash
-FROM (SELECT DISTINCT kind, code, file, line FROM findings) f JOIN numbered ON path = f.file AND n BETWEEN f.line - 2 AND f.line + 2 GROUP BY ALL""")
-def context_hash(spark, sf):
-    return P.context_hash(found(spark, sf), corpus.lines(files(spark, sf)))
-
-
-@query("suppress_inline", f"""{FOUND_SQL} SELECT kind, code, file, line FROM findings f WHERE NOT EXISTS (SELECT 1 FROM findings d WHERE d.file = f.file AND d.line = f.line AND d.line % 3 = 0 AND d.code = f.code)
- AND NOT (f.line % 7 = 0)""")
-def suppress_inline(spark, sf):
-    f = found(spark, sf)
-    marks = f.where("line % 3 = 0").select("file", "line", "code").unionAll(f.where("line % 7 = 0").select("file", "line", F.lit("*").alias("code")))
-    return P.suppressed(f, marks).select("kind", "code", "file", "line")
-
-
-@query("baseline_new_only", f"{FOUND_SQL} SELECT kind, code, file, line FROM findings f WHERE NOT EXISTS (SELECT 1 FROM findings b WHERE b.code = f.code AND b.file = f.file AND b.message = f.message AND b.line % 2 = 0)")
-def baseline_new_only(spark, sf):
-    f = found(spark, sf)
-    return f.join(f.where("line % 2 = 0").select("code", "file", "message").distinct(), ["code", "file", "message"], "left_anti").select("kind", "code", "file", "line")
-
-
-@query("diff_against", f"{FOUND_SQL} SELECT kind, code, file, line FROM findings WHERE code || ':' || file || ':' || line NOT IN (SELECT code || ':' || file || ':' || line FROM findings WHERE severity = 'high')")
-def diff_against(spark, sf):
-    key = F.concat_ws(":", "code", "file", "line")
-    f = found(spark, sf).withColumn("key", key)
-    return f.join(f.where("severity = 'high'").select("key").distinct(), "key", "left_anti").select("kind", "code", "file", "line")
-
-
-@query("changed_since", f"{FOUND_SQL} SELECT kind, code, file, line FROM findings WHERE file IN (SELECT 'pages/' || page_id || '.html' FROM pages WHERE page_id % 2 = 0)")
-def changed_since(spark, sf):
-    changed = table(spark, sf, "pages").where("page_id % 2 = 0").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("file")).distinct()
-    return found(spark, sf).join(changed, "file", "left_semi").select("kind", "code", "file", "line")
-
-
-@query("line_collapse", f"{FOUND_SQL} SELECT kind, code, file, line FROM findings f WHERE NOT (confidence <> 'high' AND EXISTS (SELECT 1 FROM findings h WHERE h.file = f.file AND h.line = f.line AND h.confidence = 'high'))")
-def line_collapse(spark, sf):
-    f = found(spark, sf)
-    strong = f.where("confidence = 'high'").select("file", "line").distinct()
-    return f.where("confidence = 'high'").unionByName(f.where("confidence <> 'high'").join(strong, ["file", "line"], "left_anti")).select("kind", "code", "file", "line")
-
-
-OFF = "regexp_matches(lower(file), '(^|/)(test|tests|example|examples|docs|fixtures|mock|mocks|demo|sample|samples)(/|$)')"
-
-
-@query("noise_reduction", f"""WITH findings AS (SELECT * REPLACE (CASE WHEN line % 2 = 0 THEN 'docs/' || file ELSE file END AS file) FROM ({rules.oracle(FOUND, corpus.FILES_SQL)}))
-SELECT kind, code, file, line, CASE WHEN {OFF} AND severity = 'high' THEN 'medium' WHEN {OFF} AND severity = 'medium' THEN 'low' ELSE severity END AS severity FROM findings WHERE NOT ({OFF} AND confidence = 'low')""")
-def noise_reduction(spark, sf):
-    f = found(spark, sf).withColumn("file", F.when(F.col("line") % 2 == 0, F.concat(F.lit("docs/"), "file")).otherwise(F.col("file")))
-    return P.quieter(f).select("kind", "code", "file", "line", "severity")
-
-
-# aggregates
-
-@query("severity_counts", f"{FOUND_SQL} SELECT count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) AS total FROM findings")
-def severity_counts(spark, sf):
-    return found(spark, sf).agg(*(F.count_if(F.col("severity") == s).alias(s) for s in X.SEVERITIES), F.count("*").alias("total"))
-
-
-REPO = "string_split(file, '/')[1]"
-
-
-@query("repo_summary", f"{FOUND_SQL} SELECT {REPO} AS repo, category, code, coalesce(confidence, 'unknown') AS confidence, count(*) AS n FROM findings GROUP BY ALL")
-def repo_summary(spark, sf):
-    return found(spark, sf).groupBy(F.split("file", "/")[0].alias("repo"), "category", "code", F.coalesce("confidence", F.lit("unknown")).alias("confidence")).agg(F.count("*").alias("n"))
-
-
-@query("global_summary", f"{FOUND_SQL} SELECT sum(n) AS total, CAST(floor(sum(n) / count(*) + 0.5) AS BIGINT) AS mean_repo, max(n) AS most FROM (SELECT {REPO} AS repo, count(*) AS n FROM findings GROUP BY 1)")
-def global_summary(spark, sf):
-    per = found(spark, sf).groupBy(F.split("file", "/")[0].alias("repo")).agg(F.count("*").alias("n"))
-    return per.agg(F.sum("n").alias("total"), F.floor(F.sum("n") / F.count("*") + 0.5).alias("mean_repo"), F.max("n").alias("most"))
-
-
-@query("rule_performance", f"{FOUND_SQL}, repos AS (SELECT count(DISTINCT {REPO}) AS r FROM findings) SELECT code, count(*) AS total, round(count(*) / any_value(r), 1) AS per_repo, count(DISTINCT {REPO}) AS repos FROM findings, repos GROUP BY code")
-def rule_performance(spark, sf):
-    f = found(spark, sf).withColumn("repo", F.split("file", "/")[0])
-    n = f.select("repo").distinct().count()
-    return f.groupBy("code").agg(F.count("*").alias("total"), F.round(F.count("*") / F.lit(n), 1).alias("per_repo"), F.count_distinct("repo").alias("repos"))
-
-
-@query("confidence_distribution", f"{FOUND_SQL} SELECT confidence, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS pct FROM findings GROUP BY confidence")
-def confidence_distribution(spark, sf):
-    per = found(spark, sf).groupBy("confidence").agg(F.count("*").alias("n"))
-    return per.crossJoin(F.broadcast(per.agg(F.sum("n").alias("t")))).select("confidence", "n", F.round(100.0 * F.col("n") / F.col("t"), 1).alias("pct"))
-
-
-@query("top_entries", f"{FOUND_SQL} SELECT code, count(*) AS n FROM findings GROUP BY code ORDER BY n DESC, code LIMIT 5")
-def top_entries(spark, sf):
-    return found(spark, sf).groupBy("code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code").limit(5)
-
-
-@query("suppressions_by_rule", f"{FOUND_SQL} SELECT code, count(*) AS n FROM findings WHERE line % 2 = 0 GROUP BY code HAVING count(*) >= 5")
-def suppressions_by_rule(spark, sf):
-    return found(spark, sf).where("line % 2 = 0").groupBy("code").agg(F.count("*").alias("n")).where("n >= 5")
-
-
-@query("cwe_taxonomy", f"{FOUND_SQL} SELECT code, array_to_string(list_sort(list(DISTINCT cwe)), '|') AS cwes FROM findings WHERE cwe <> '' GROUP BY code")
-def cwe_taxonomy(spark, sf):
-    return found(spark, sf).where("cwe <> ''").groupBy("code").agg(F.array_join(F.array_sort(F.collect_set("cwe")), "|").alias("cwes"))
-
-
-@query("run_percentiles_last50", """SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM (
-  SELECT event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 50) GROUP BY event_type""")
-def run_percentiles_last50(spark, sf):
-    w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    last = table(spark, sf, "events").withColumn("n", F.row_number().over(w)).where("n <= 50")
-    pct = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(f"p{int(p * 100)}")
-    return last.groupBy("event_type").agg(pct(0.5), pct(0.95), pct(0.99))
-
-
-@query("success_rate", "SELECT CAST(user_id % 10 AS BIGINT) AS lane, round(100.0 * count(*) FILTER (event_type <> 'error') / count(*)) AS rate FROM events GROUP BY 1")
-def success_rate(spark, sf):
-    return table(spark, sf, "events").groupBy((F.col("user_id") % 10).alias("lane")).agg(F.round(100.0 * F.count_if(F.col("event_type") != "error") / F.count("*")).alias("rate"))
-
-
-@query("skipped_largest", "SELECT path, n_bytes FROM (SELECT source || '/' || doc_id AS path, strlen(text) AS n_bytes FROM documents) ORDER BY n_bytes DESC, path LIMIT 5")
-def skipped_largest(spark, sf):
-    return table(spark, sf, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), F.octet_length("text").cast("long").alias("n_bytes")).orderBy(F.desc("n_bytes"), "path").limit(5)
-
-
-# report rows
-
-@query("sarif_results", f"""{FOUND_SQL} SELECT code, file, line, CASE severity WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level,
- CASE severity WHEN 'high' THEN 80 WHEN 'medium' THEN 50 ELSE 25 END + CASE confidence WHEN 'high' THEN 15 WHEN 'medium' THEN 5 ELSE 0 END AS rank,
- CASE WHEN length(text) > 320 THEN substr(text, 1, 320) || '…' ELSE text END AS snippet FROM findings""")
-def sarif_results(spark, sf):
-    s, c = F.col("severity"), F.col("confidence")
-    return found(spark, sf).select("code", "file", "line", X.sarif_level(s).alias("level"), X.sarif_rank(s, c).alias("rank"), X.clamp(F.col("text")).alias("snippet"))
-
-
-@query("sarif_rules", f"{FOUND_SQL} SELECT code, CAST(row_number() OVER (ORDER BY code) - 1 AS INTEGER) AS rule_index, n FROM (SELECT code, count(*) AS n FROM findings GROUP BY code)")
-def sarif_rules(spark, sf):
-    per = found(spark, sf).groupBy("code").agg(F.count("*").alias("n"))
-    return per.select("code", (F.row_number().over(Window.orderBy("code")) - 1).alias("rule_index"), "n")
-
-
-@query("csv_rows", f"""{FOUND_SQL} SELECT CASE WHEN regexp_matches(text, '[",\\r\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END || ',' || code || ',' || line AS row FROM findings""")
-def csv_rows(spark, sf):
-    return found(spark, sf).select(F.concat_ws(",", X.csv_field(F.col("text")), "code", F.col("line").cast("string")).alias("row"))
-
-
-@query("junit_rows", f"""{FOUND_SQL} SELECT '<testcase classname="' || code || '" name="' || file || ':' || line || '"><failure>' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '</failure></testcase>' AS row FROM findings""")
-def junit_rows(spark, sf):
-    return found(spark, sf).select(F.format_string('<testcase classname="%s" name="%s:%d"><failure>%s</failure></testcase>', "code", "file", "line", X.xml_text(F.col("text"))).alias("row"))
-
-
-@query("gitlab_rows", f"{FOUND_SQL} SELECT sha1(code || '|' || file || '|' || line || '|' || message) AS fingerprint, CASE severity WHEN 'high' THEN 'critical' WHEN 'medium' THEN 'major' ELSE 'minor' END AS severity FROM findings")
-def gitlab_rows(spark, sf):
-    sev = F.when(F.col("severity") == "high", "critical").when(F.col("severity") == "medium", "major").otherwise("minor")
-    return found(spark, sf).select(F.sha1(F.concat_ws("|", "code", "file", F.col("line").cast("string"), "message")).alias("fingerprint"), sev.alias("severity"))
-
-
-@query("gitlab_security_ids", f"{FOUND_SQL}, h AS (SELECT code, file, line, sha1(code || '|' || file || '|' || line) AS s FROM findings) SELECT DISTINCT code, file, line, substr(s, 1, 8) || '-' || substr(s, 9, 4) || '-' || substr(s, 13, 4) || '-' || substr(s, 17, 4) || '-' || substr(s, 21, 12) AS id FROM h")
-def gitlab_security_ids(spark, sf):
-    return found(spark, sf).select("code", "file", "line", X.uuid_of(F.concat_ws("|", "code", "file", F.col("line").cast("string"))).alias("id")).distinct()
-
-
-@query("bitbucket_rows", f"{FOUND_SQL} SELECT code || '-' || (row_number() OVER (ORDER BY {ORDER}) - 1) AS id, upper(severity) AS severity FROM findings ORDER BY {ORDER} LIMIT 1000")
-def bitbucket_rows(spark, sf):
-    # the sink takes a thousand annotations, so the numbering runs over these alone
-    top = P.top_n(found(spark, sf), 1000)
-    n = F.row_number().over(Window.orderBy(*P.order())) - 1
-    return top.select(F.concat(F.col("code"), F.lit("-"), n.cast("string")).alias("id"), F.upper("severity").alias("severity"))
-
-
-@query("markdown_rows", f"{FOUND_SQL} SELECT '| ' || severity || ' | ' || code || ' | ' || file || ':' || line || ' | ' || replace(message, '|', '\\|') || ' |' AS row FROM findings")
-def markdown_rows(spark, sf):
-    return found(spark, sf).select(F.format_string("| %s | %s | %s:%d | %s |", "severity", "code", "file", "line", F.replace("message", F.lit("|"), F.lit("\\|"))).alias("row"))
-
-
 # joins
 
-VULNERABLE = [("Brand#11", "12.3.0"), ("Brand#23", "20.0.0"), ("Brand#34", "7.1.2"), ("Brand#45", "30.5.0"), ("Brand#55", "41.0.0")]
-KEY = "split_part({v}, '.', 1)::BIGINT * 1000000000000 + split_part({v}, '.', 2)::BIGINT * 1000000 + split_part({v}, '.', 3)::BIGINT"
-
-
-@query("vulnerable_versions", f"""WITH dep AS (SELECT p_partkey, p_brand AS name, p_size || '.' || (p_partkey % 10) || '.0' AS version FROM part), bad(name, fixed) AS (VALUES {', '.join(f"('{n}', '{v}')" for n, v in VULNERABLE)})
-SELECT p_partkey, dep.name AS name, version, fixed FROM dep JOIN bad ON dep.name = bad.name WHERE {KEY.format(v='version')} < {KEY.format(v='fixed')}""")
-def vulnerable_versions(spark, sf):
-    version = F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string"), F.lit(".0"))
-    dep = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("name"), version.alias("version"))
-    bad = spark.createDataFrame(VULNERABLE, "name string, fixed string")
-    return dep.join(F.broadcast(bad), "name").where(X.semver_key(F.col("version")) < X.semver_key(F.col("fixed"))).select("p_partkey", "name", "version", "fixed")
-
-
-@query("typosquat", "SELECT e.event_id, j.key AS name, 'k' AS canonical FROM events e, json_each(e.props) j WHERE j.key = 'k'")
-def typosquat(spark, sf):
-    deps = table(spark, sf, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "v"))
-    return deps.join(F.broadcast(spark.createDataFrame([("k", "k")], "name string, canonical string")), "name").select("event_id", "name", "canonical")
-
-
-@query("tainted_local_to_sink", """WITH a AS (SELECT user_id, max(floor(epoch(ts))::BIGINT) AS start FROM events WHERE event_type = 'view' GROUP BY user_id)
-SELECT s.event_id, s.user_id, a.start FROM events s JOIN a ON s.user_id = a.user_id WHERE s.event_type = 'purchase' AND floor(epoch(s.ts))::BIGINT - a.start BETWEEN 0 AND 600000""")
-def tainted_local_to_sink(spark, sf):
-    e = table(spark, sf, "events").withColumn("at", F.unix_timestamp(F.date_trunc("second", F.col("ts")).cast("timestamp")))
-    last = e.where("event_type = 'view'").groupBy("user_id").agg(F.max("at").alias("start"))
-    return e.where("event_type = 'purchase'").join(last, "user_id").where("at - start between 0 and 600000").select("event_id", "user_id", "start")
-
 
 @query("nearest_element", "SELECT s_suppkey, arg_min(c_custkey, (abs(c_acctbal - s_acctbal), c_custkey)) AS nearest FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY s_suppkey")
 def nearest_element(spark, sf):
@@ -343,25 +60,6 @@ def nearest_element(spark, sf):
     return pairs.groupBy("s_suppkey").agg(F.min_by("c_custkey", F.struct(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), F.col("c_custkey"))).alias("nearest"))
 
 
-@query("policy_coverage", """WITH client AS (SELECT DISTINCT l_returnflag AS tbl, l_linestatus AS op FROM lineitem UNION SELECT DISTINCT o_orderstatus, 'insert' FROM orders), policy(tbl, op) AS (VALUES ('A', 'all'), ('N', 'O'), ('F', 'insert'))
-SELECT c.tbl AS tbl, c.op AS op, CASE WHEN bool_or(p.op IS NOT NULL) THEN 'covered' ELSE 'missing' END AS state FROM client c LEFT JOIN policy p ON c.tbl = p.tbl AND p.op IN ('all', c.op) GROUP BY 1, 2""")
-def policy_coverage(spark, sf):
-    client = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("tbl"), F.col("l_linestatus").alias("op")).distinct()
-    client = client.unionAll(table(spark, sf, "orders").select(F.col("o_orderstatus").alias("tbl"), F.lit("insert").alias("op")).distinct()).distinct()
-    policy = spark.createDataFrame([("A", "all"), ("N", "O"), ("F", "insert")], "tbl string, pop string")
-    both = client.join(F.broadcast(policy), "tbl", "left").withColumn("ok", F.col("pop").isin("all") | (F.col("pop") == F.col("op")))
-    return both.groupBy("tbl", "op").agg(F.when(F.bool_or(F.coalesce("ok", F.lit(False))), "covered").otherwise("missing").alias("state"))
-
-
-@query("policy_suggestion", """SELECT c_mktsegment AS tbl, 'create policy on ' || c_mktsegment || ' using (' || string_agg(col || ' = auth.uid()', ' OR ' ORDER BY col) || ')' AS policy
-FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING') CROSS JOIN (VALUES ('owner_id'), ('user_id')) v(col) GROUP BY c_mktsegment""")
-def policy_suggestion(spark, sf):
-    have = spark.createDataFrame([("BUILDING",)], "tbl string")
-    want = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("tbl")).distinct().join(F.broadcast(have), "tbl", "left_anti")
-    rule = F.array_join(F.transform(F.array(F.lit("owner_id"), F.lit("user_id")), lambda c: F.concat(c, F.lit(" = auth.uid()"))), " OR ")
-    return want.select("tbl", F.concat(F.lit("create policy on "), "tbl", F.lit(" using ("), rule, F.lit(")")).alias("policy"))
-
-
 # graphs: customers, orders, parts and suppliers as typed edges
 
 EDGES_SQL = """edges AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_partkey % 10 = 0
@@ -419,13 +117,6 @@ def reactive_edges(spark, sf):
     return a.join(e.where("event_type = 'error'").select(F.col("node").alias("dst"), "channel"), "channel").select("src", "dst", "channel")
 
 
-@query("bmc_counterexample", "SELECT c_custkey, bool_or(i = c_nationkey AND NOT (c_acctbal > 1000 * i)) AS counterexample FROM customer, range(0, 8) t(i) GROUP BY c_custkey")
-def bmc_counterexample(spark, sf):
-    i = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")
-    tried = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", i)
-    return tried.groupBy("c_custkey").agg(F.bool_or((F.col("i") == F.col("c_nationkey")) & ~(F.col("c_acctbal") > 1000 * F.col("i"))).alias("counterexample"))
-
-
 # lexical and policy extraction over scripts that are written from the tables' rows
 
 def _script(df: DataFrame, path, content) -> DataFrame:
@@ -470,27 +161,3 @@ def taint_paths(spark, sf):
     hops = F.when(k % 8 == 5, "let b = a; let c = b; let d = c; let e = d; exec(e);").otherwise("exec(a);")
     text = F.when(k % 4 == 0, "const a = req.query.a;\ndb.query('select ' + a);").when(k % 4 == 1, F.concat(F.lit("let a = req.body.a;\n"), hops)).when(k % 4 == 2, "const a = parseInt(req.query.a);\ndb.query('select ' + a);").otherwise("db.query('select ?', [req.query.a]);")
     return taint.findings(_script(o, F.concat(F.lit("o"), k.cast("string")), text)).select("path", "sink", "confidence")
-
-
-@query("comment_offsets", """SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'signup' AND s.user_id = e.user_id AND e.event_id >= s.event_id AND e.event_id < s.event_id + 500)""")
-def comment_offsets(spark, sf):
-    """Points outside all intervals of their key: intervals are cut at steps of 500, so the join is on equal keys."""
-    e = table(spark, sf, "events")
-    spans = e.where("event_type = 'signup'").select(F.col("user_id").alias("u"), F.col("event_id").alias("start"))
-    spans = spans.withColumn("step", F.explode(F.array(F.floor(F.col("start") / 500), F.floor((F.col("start") + 499) / 500))))
-    inside = e.withColumn("step", F.floor(F.col("event_id") / 500)).alias("e").join(spans.alias("s"), F.expr("e.user_id = s.u AND e.step = s.step AND e.event_id >= s.start AND e.event_id < s.start + 500"), "left_semi")
-    return e.select("event_id").join(inside.select("event_id"), "event_id", "left_anti")
-
-
-@query("edge_functions", "SELECT user_id % 100 AS file, bool_or(event_type = 'error') AS service_role, array_to_string(list_sort(list(DISTINCT event_type)), '|') AS params FROM events GROUP BY 1")
-def edge_functions(spark, sf):
-    return table(spark, sf, "events").groupBy((F.col("user_id") % 100).alias("file")).agg(F.bool_or(F.col("event_type") == "error").alias("service_role"), F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("params"))
-
-
-@query("gitignore_last_match", """WITH rule(n, rx, negated) AS (VALUES (1, '^https', false), (2, '/[0-9]*[02468]$', true), (3, '5', false))
-SELECT url, coalesce(arg_max(NOT negated, n), false) AS ignored FROM pages LEFT JOIN rule ON regexp_matches(url, rx) GROUP BY url""")
-def gitignore_last_match(spark, sf):
-    last = F.lit(False)
-    for rx, negated in (("^https", False), ("/[0-9]*[02468]$", True), ("5", False)):
-        last = F.when(F.col("url").rlike(rx), F.lit(not negated)).otherwise(last)
-    return table(spark, sf, "pages").select("url", last.alias("ignored")).distinct()
