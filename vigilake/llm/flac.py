@@ -88,8 +88,43 @@ def _predict(x: np.ndarray, n: np.ndarray):
     return q, shift
 
 
+#: Frames that are coded or decoded together: what a worker holds beside a text and its stream does not grow with the text.
+GROUP = 1024
+
+
 def encode(rows: list[bytes]) -> list[bytes]:
-    """One FLAC stream for each row of unsigned bytes; sample = byte - 128."""
+    """One FLAC stream for each row of unsigned bytes; sample = byte - 128. Long rows are coded piece by piece."""
+    step, pieces = GROUP * BLOCK, []
+    for i, r in enumerate(rows):
+        pieces += [(i, a) for a in range(0, len(r), step)]
+    frames: list[list] = [[] for _ in rows]
+    sizes: list[list] = [[] for _ in rows]
+    at = 0
+    while at < len(pieces):
+        some, held = [], 0
+        while at < len(pieces) and (not some or held < step):
+            some.append(pieces[at])
+            held += min(step, len(rows[pieces[at][0]]) - pieces[at][1])
+            at += 1
+        for (i, _), (body, size) in zip(some, _code([rows[i][a : a + step] for i, a in some], [a // BLOCK for _, a in some])):
+            frames[i].append(body)
+            sizes[i].append(size)
+    out = []
+    for r, body, size in zip(rows, frames, sizes):
+        size = np.concatenate(size)
+        pcm = (np.frombuffer(r, np.uint8) ^ np.uint8(0x80)).tobytes()
+        info = struct.pack(">HH", BLOCK, BLOCK) + int(size.min()).to_bytes(3, "big") + int(size.max()).to_bytes(3, "big")
+        info += (8000 << 44 | 0 << 41 | 7 << 36 | len(r)).to_bytes(8, "big") + hashlib.md5(pcm).digest()
+        points = np.zeros(len(size), np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
+        points["sample"], points["offset"] = np.arange(len(size)) * BLOCK, np.cumsum(size) - size
+        points["n"] = np.minimum(BLOCK, len(r) - np.arange(len(size)) * BLOCK)
+        seek = points.tobytes()
+        out.append(b"".join([b"fLaC", b"\x00", len(info).to_bytes(3, "big"), info, b"\x83", len(seek).to_bytes(3, "big"), seek, *body]))
+    return out
+
+
+def _code(rows: list[bytes], begin: list[int]) -> list[tuple[bytes, np.ndarray]]:
+    """The frames of each row and their sizes; begin has the number of each row's first frame."""
     size = np.array([len(r) for r in rows], np.int64)
     flat = np.frombuffer(b"".join(rows), np.uint8).astype(np.int32) - 128
     base = np.concatenate([[0], np.cumsum(size)])
@@ -97,6 +132,7 @@ def encode(rows: list[bytes]) -> list[bytes]:
     owner = np.repeat(np.arange(len(rows)), per)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
     start = base[owner] + number * BLOCK
+    number = number + np.array(begin, np.int64)[owner]
     n = np.minimum(BLOCK, base[owner + 1] - start)
     inside = np.arange(BLOCK) < n[:, None]
     x = np.zeros((len(n), BLOCK), np.int32)
@@ -167,19 +203,8 @@ def encode(rows: list[bytes]) -> list[bytes]:
     crc = crc16(out, at[:-1], at[1:] - 2)
     out[at[1:] - 2], out[at[1:] - 1] = crc >> np.uint16(8), crc & np.uint16(255)
 
-    streams, raw = [], out.tobytes()
-    first = np.concatenate([[0], np.cumsum(per)])
-    for i in range(len(rows)):
-        a, z = int(first[i]), int(first[i + 1])
-        sizes = total[a:z]
-        pcm = (np.frombuffer(rows[i], np.uint8) ^ 0x80).tobytes()
-        info = struct.pack(">HH", BLOCK, BLOCK) + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
-        info += (8000 << 44 | 0 << 41 | 7 << 36 | int(size[i])).to_bytes(8, "big") + hashlib.md5(pcm).digest()
-        points = np.zeros(z - a, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
-        points["sample"], points["offset"], points["n"] = number[a:z] * BLOCK, at[a:z] - at[a], n[a:z]
-        seek = points.tobytes()
-        streams.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + raw[at[a] : at[z]])
-    return streams
+    raw, first = out.tobytes(), np.concatenate([[0], np.cumsum(per)])
+    return [(raw[at[a] : at[z]], total[a:z]) for a, z in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
 def _layout(s: bytes) -> tuple[int, int, bytes, np.ndarray, np.ndarray]:
@@ -246,8 +271,20 @@ def decode(streams: list[bytes], only: list[tuple[int, int]] | None = None) -> l
             if only is None or (i, b) in only:
                 frames.append((i, b, int(base[i]) + a, int(base[i]) + z, first))
     out: list[list] = [[] for _ in streams]
-    if not frames:
-        return out
+    for k in range(0, len(frames), GROUP):
+        some = frames[k : k + GROUP]
+        for (i, _, _, _, first), block in zip(some, _blocks(some, raw, data, window)):
+            out[i].append((first, block))
+    for i, (_, total, md5, _, _) in enumerate(plans):
+        if only is None:
+            pcm = np.concatenate([b for _, b in out[i]]) if out[i] else np.zeros(0, np.uint8)
+            if len(pcm) != total or hashlib.md5((pcm ^ np.uint8(0x80)).tobytes()).digest() != md5:
+                raise ValueError("a stream's samples do not match its MD5")
+    return out
+
+
+def _blocks(frames: list[tuple], raw: bytes, data: np.ndarray, window: np.ndarray) -> list[np.ndarray]:
+    """Samples of frames (stream, block, start, end, first sample), after a look at their checksums."""
     start, end = np.array([f[2] for f in frames]), np.array([f[3] for f in frames])
     crc = crc16(data, start, end - 2)
     if (crc != (data[end - 2].astype(np.uint16) << np.uint16(8) | data[end - 1])).any():
@@ -297,14 +334,7 @@ def decode(streams: list[bytes], only: list[tuple[int, int]] | None = None) -> l
     todo = np.flatnonzero(coded)
     todo = todo[np.argsort(-n[todo], kind="stable")]
     _residuals(x, window, todo, n, order, pos, part, wide, coef, shift)
-    for f, (i, b, _, _, first) in enumerate(frames):
-        out[i].append((first, ((x[: n[f], f] + 128) & 0xFF).astype(np.uint8)))
-    for i, (_, total, md5, _, _) in enumerate(plans):
-        if only is None:
-            pcm = np.concatenate([b for _, b in out[i]]) if out[i] else np.zeros(0, np.uint8)
-            if len(pcm) != total or hashlib.md5((pcm ^ np.uint8(0x80)).tobytes()).digest() != md5:
-                raise ValueError("a stream's samples do not match its MD5")
-    return out
+    return [((x[: n[f], f] + 128) & 0xFF).astype(np.uint8) for f in range(n_frames)]
 
 
 def _peek(window, pos, bits):
@@ -368,20 +398,21 @@ def payload(text: bytes) -> bytes:
 
 def feature(samples: np.ndarray) -> str:
     """Mean, deviation, crossings of the mean and distinct levels of decoded samples."""
-    x = samples.astype(np.int64) - 128
-    mean = x.mean()
-    side = x > mean
-    return f"mean={mean:.4f};dev={x.std():.4f};cross={int((side[1:] != side[:-1]).sum())};levels={len(np.unique(samples))}"
+    count, level = np.bincount(samples, minlength=256), np.arange(256) - 128
+    mean = float((count * level).sum()) / len(samples)
+    dev = float((count * (level - mean) ** 2).sum() / len(samples)) ** 0.5
+    side = samples > np.uint8(min(max(int(np.floor(mean)) + 128, 0), 255))
+    return f"mean={mean:.4f};dev={dev:.4f};cross={int((side[1:] != side[:-1]).sum())};levels={int((count > 0).sum())}"
 
 
 def media(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, flac: the stored form of every whole text."""
+    """key, n_bytes, flac: the size and the stored form of every whole text."""
 
     def kernel(part, data, off):
         raw = data.tobytes()
-        return {"id": part.column(0), "flac": encode([payload(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())])}
+        return {"id": part.column(0), "n_bytes": np.diff(off), "flac": encode([payload(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())])}
 
-    return C.map_texts(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id long, flac binary", kernel, limit=1 << 20).withColumnRenamed("id", key)
+    return C.map_texts(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id long, n_bytes long, flac binary", kernel, limit=1 << 20).withColumnRenamed("id", key)
 
 
 def pcm_blocks(stored: DataFrame, *, key: str = "doc_id", column: str = "flac") -> DataFrame:
@@ -396,18 +427,19 @@ def pcm_blocks(stored: DataFrame, *, key: str = "doc_id", column: str = "flac")
     return C.map_texts(stored.select(F.col(key).cast("long").alias("id"), F.col(column).alias("flac")), "id long, block long, sample_offset long, pcm binary", kernel, text="flac", limit=1 << 20).withColumnRenamed("id", key)
 
 
-def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and what describes payload, stored form and decoded samples of every whole text."""
+def digests(stored: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """key and what describes the decoded samples and the stored form of each row of a stored media() table."""
 
     def kernel(part, data, off):
         raw, at = data.tobytes(), off.tolist()
-        stored = encode([payload(raw[a:b]) for a, b in zip(at[:-1], at[1:])])
-        back = [np.concatenate([x for _, x in found]) for found in decode(stored)]
+        streams = [raw[a:b] for a, b in zip(at[:-1], at[1:])]
+        back = [np.concatenate([x for _, x in found]) for found in decode(streams)]
         return {
-            "id": part.column(0), "n_bytes": np.diff(off), "payload_bytes": [len(b) for b in back], "payload_sha256": [hashlib.sha256(b.tobytes()).hexdigest() for b in back],
-            "tail_crc32": [zlib.crc32(b[-16:].tobytes()) for b in back], "media_bytes": [len(s) for s in stored],
-            "media_sha256": [hashlib.sha256(s).hexdigest() for s in stored], "feature": [feature(b) for b in back],
+            "id": part.column(0), "n_bytes": part.column(1), "payload_bytes": [len(b) for b in back], "payload_sha256": [hashlib.sha256(b.tobytes()).hexdigest() for b in back],
+            "tail_crc32": [zlib.crc32(b[-16:].tobytes()) for b in back], "media_bytes": [len(s) for s in streams],
+            "media_sha256": [hashlib.sha256(s).hexdigest() for s in streams], "feature": [feature(b) for b in back],
         }
 
     schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return C.map_texts(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), schema, kernel, limit=1 << 20).withColumnRenamed("id", key)
+    rows = stored.select(F.col(key).cast("long").alias("id"), "n_bytes", "flac")
+    return C.map_texts(rows, schema, kernel, text="flac", limit=1 << 20).withColumnRenamed("id", key)
