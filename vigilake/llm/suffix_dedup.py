@@ -11,6 +11,7 @@ the same anchor at the same offset, and only anchored suffixes are shuffled, one
    spans are put in suffix order inside the K-gram's bucket: a merge sort whose comparisons find the common extension of
    two suffixes by binary search over prefix polynomial hashes. Neighbours that agree over LENGTH bytes are compared byte
    for byte, and a bucket with a hash collision is sorted by its bytes. The first window of each class stays.
+   K-grams with more than CROWD spans have their windows dealt out by content instead and compared byte for byte.
 3. K-grams that a sample of documents shows in many different spans are hot: each of their windows is a span with a bucket
    of its own, by its whole content, so a line that a third of all documents share is dealt over many tasks.
 
@@ -37,6 +38,8 @@ LENGTH, K = 100, 24
 REACH = LENGTH - K + 1
 #: Documents with hash(id) mod SAMPLE = 0 are looked at for hot K-grams: in HOT_SHARE of their number of spans, HOT_LEAST at least.
 SAMPLE, HOT_SHARE, HOT_LEAST = 128, 0.005, 8
+#: Spans of one K-gram that are sorted together; those of a K-gram with more are dealt out by the content of each window.
+CROWD = 20_000
 BLOCK = 8 << 20
 POSITION = np.uint64((1 << 24) - 1)
 A, B, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -174,20 +177,35 @@ def resolve(found: DataFrame) -> DataFrame:
     ours = found.repartition(n, "kh").sortWithinPartitions("kh", "sh", "id", "lo")
 
     def run(batches):
-        for t in _groups(batches, 1):
+        # rows stream past: what is kept of a K-gram is its last content's first row, and its only span while it has but one
+        last = None
+        for t in batches:
             done = np.asarray(t.column("sh").is_null())
-            yield _spans_out(*(np.asarray(t.column(c))[done] for c in ("id", "kh", "at", "lo", "hi")), np.ones(int(done.sum()), bool))
+            if done.any():
+                yield _spans_out(*(np.asarray(t.column(c))[done] for c in ("id", "kh", "at", "lo", "hi")), np.ones(int(done.sum()), bool))
             t = t.filter(pa.array(~done))
             if not t.num_rows:
                 continue
             ids, kh, sh, at, lo, hi = (np.asarray(t.column(c)) for c in ("id", "kh", "sh", "at", "lo", "hi"))
-            new_k = np.concatenate([[True], kh[1:] != kh[:-1]])
-            new_s = new_k | np.concatenate([[True], sh[1:] != sh[:-1]])
-            kinds = np.add.reduceat(new_s.astype(np.int64), np.flatnonzero(new_k))[np.cumsum(new_k) - 1]
-            first = np.flatnonzero(new_s)[np.cumsum(new_s) - 1]
-            again = ~new_s & ~((ids == ids[first]) & (lo == lo[first]))
-            keep = again | new_s & (kinds > 1)
+            new_k = np.concatenate([[last is None or kh[0] != last["kh"]], kh[1:] != kh[:-1]])
+            new_s = new_k | np.concatenate([[last is None or sh[0] != last["sh"]], sh[1:] != sh[:-1]])
+            place = np.maximum.accumulate(np.where(new_s, np.arange(len(ids)), -1))
+            old = place < 0
+            first_id, first_lo = (np.where(old, last[c] if last else 0, x[place]) for c, x in (("id", ids), ("lo", lo)))
+            again = ~new_s & ~((ids == first_id) & (lo == first_lo))
+            part = np.cumsum(new_k)
+            kinds = np.bincount(part, new_s, int(part[-1]) + 1).astype(np.int64)
+            if not new_k[0]:
+                kinds[0] += last["kinds"]
+                if kinds[0] > 1 and last["only"]:
+                    yield _spans_out(*(np.array([x]) for x in last["only"]), np.zeros(1, bool))
+            keep = again | new_s & (kinds[part] > 1)
             yield _spans_out(ids[keep], kh[keep], at[keep], lo[keep], hi[keep], again[keep])
+            only = None
+            if kinds[-1] == 1:
+                mine = np.flatnonzero(new_s & (part == part[-1]))
+                only = tuple(x[mine[0]] for x in (ids, kh, at, lo, hi)) if len(mine) else last["only"]
+            last = {"kh": kh[-1], "sh": sh[-1], "id": first_id[-1], "lo": first_lo[-1], "kinds": min(int(kinds[-1]), 2), "only": only}
 
     return ours.mapInArrow(run, "id long, kh long, at int, lo int, hi int")
 
@@ -304,6 +322,59 @@ def compare(contexts: DataFrame) -> DataFrame:
     return ours.mapInArrow(run, "id long, pack long")
 
 
+def settle(windows: DataFrame) -> DataFrame:
+    """id, pack of windows that repeat, from windows(kh, id, lo, text) where equal texts have one kh. Rows stream past the first one of
+    their text; every text is compared byte for byte, and other texts under one kh are told apart."""
+    n = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        bucket, firsts = None, {}
+        for t in batches:
+            kh, ids, lo = (np.asarray(t.column(c)).astype(np.int64) for c in ("kh", "id", "lo"))
+            text = C.utf8(t.column("text"))[0].reshape(-1, LENGTH)
+            again = np.zeros(len(kh), bool)
+
+            def repeats(i: int, seen: dict) -> bool:
+                own = (int(ids[i]), int(lo[i]))
+                return seen.setdefault(text[i].tobytes(), own) != own
+
+            # the bucket that the last batch ended in goes on row by row
+            lead = int(np.searchsorted(kh != bucket, True)) if bucket is not None else 0
+            for i in range(lead):
+                again[i] = repeats(i, firsts)
+            if lead < len(kh):
+                rest = np.arange(lead, len(kh))
+                head = np.concatenate([[True], kh[lead + 1 :] != kh[lead:-1]])
+                place = rest[np.maximum.accumulate(np.where(head, np.arange(len(rest)), 0))]
+                same = (text[rest] == text[place]).all(axis=1)
+                again[rest] = same & ~((ids[rest] == ids[place]) & (lo[rest] == lo[place]))
+                others: dict[int, dict] = {}
+                for i, p in zip(rest[~same].tolist(), place[~same].tolist()):
+                    again[i] = repeats(i, others.setdefault(p, {text[p].tobytes(): (int(ids[p]), int(lo[p]))}))
+                end = int(place[-1])
+                bucket, firsts = int(kh[-1]), others.get(end, {text[end].tobytes(): (int(ids[end]), int(lo[end]))})
+            yield pa.RecordBatch.from_arrays([pa.array(ids[again]), pa.array(lo[again] << 32 | lo[again])], ["id", "pack"])
+
+    return windows.repartition(n, "kh").sortWithinPartitions("kh", "id", "lo").mapInArrow(run, "id long, pack long")
+
+
+def each_window(contexts: DataFrame) -> DataFrame:
+    """kh, id, lo, text of every window of spans, in a bucket of its own content."""
+
+    def kernel(part, data, off):
+        many = np.diff(off) - LENGTH + 1
+        row = np.repeat(np.arange(part.num_rows), many)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        start = off[row] + nth
+        kh = C.mix(C.span_hash(C.prefix_hash(data), start, start + LENGTH))
+        body = data[start[:, None] + np.arange(LENGTH)].ravel()
+        text = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((np.arange(len(row) + 1) * LENGTH).astype(np.int32)), pa.py_buffer(body)])
+        ids, lo = (np.asarray(part.column(c)).astype(np.int64) for c in ("id", "lo"))
+        return {"kh": kh.view(np.int64), "id": ids[row], "lo": lo[row] + nth, "text": text}
+
+    return C.map_texts(contexts, "kh long, id long, lo long, text binary", kernel, limit=1 << 20)
+
+
 def _contexts(joined: DataFrame) -> DataFrame:
     def kernel(part, data, off):
         lists = part.column(2)
@@ -324,8 +395,13 @@ def removals(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry:
     """id, text, packs (first and last window start, packed, of each repeat; null where nothing repeats) and carried columns of rows with an id."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     found = C.cut(resolve(spans(rows, hot_grams(rows))), "spans")
-    open_ = found.where("kh is not null").groupBy("id").agg(F.collect_list(F.struct("kh", "at", "lo", "hi")).alias("open"))
-    more = compare(_contexts(rows.join(open_, "id").select("id", "text", "open")))
+    open_ = found.where("kh is not null")
+    contexts = lambda of: _contexts(rows.join(of.groupBy("id").agg(F.collect_list(F.struct("kh", "at", "lo", "hi")).alias("open")), "id").select("id", "text", "open"))
+    crowd = C.cut(open_.groupBy("kh").count().where(F.col("count") > CROWD).select("kh"), "crowd")
+    if crowd.isEmpty():
+        more = compare(contexts(open_))
+    else:
+        more = compare(contexts(open_.join(crowd, "kh", "left_anti"))).unionAll(settle(each_window(contexts(open_.join(crowd, "kh", "left_semi")))))
     pack = (F.col("lo").cast("long") * F.lit(1 << 32) + F.col("hi")).alias("pack")
     packs = found.where("kh is null").select("id", pack).unionAll(more).groupBy("id").agg(F.collect_list("pack").alias("packs"))
     if carry:
