@@ -116,6 +116,8 @@ class Needles:
         row = C.row_of(off, at)
         inside = at + Q <= off[row + 1]
         at, key, row = at[inside], key[inside], row[inside]
+        if not len(at):  # what the table let through was no q-gram of a needle
+            return _none()
         times = self.last[key] - self.first[key]
         post = np.repeat(self.first[key] - np.concatenate([[0], np.cumsum(times)])[:-1], times) + np.arange(times.sum())
         needle, diagonal, row = self.needle[post], np.repeat(at, times) - self.offset[post], np.repeat(row, times)
