@@ -294,3 +294,31 @@ def url_validity(spark, sf):
 def path_functions(spark, sf):
     u = F.col("url")
     return table(spark, sf, "pages").select("url", paths.base(u).alias("base"), paths.folder(u).alias("folder"), paths.depth(u).cast("long").alias("depth"), paths.relative(u, "https:/").alias("relative")).distinct()
+
+
+# taint: one flow a text
+
+FLOWS = [
+    "function handle(input, res) {\n  db.query('select ' + input);\n}", "function handle(input, other) {\n  db.query('select ' + input);\n}",
+    "function raw() { return req.body.a; }\nconst a = raw();\nexec(a);", "class A {\n  constructor(req) { this.q = req.query.q; }\n  run() { db.query('x' + this.q); }\n}",
+    "const t = {};\nObject.assign(t, req.body);\nexec(t.cmd);", "const a = req.body.a;\nusers.find({ $where: a });", "const a = req.body.a;\nusers.find({ name: a });",
+    "const a = req.body.a;\nvalidateName(a);\nexec(a);", "const a = req.body.a;\nsettings.execute('go ' + a);", "const a = req.body.a;\nuserDb.execute(a);",
+    "app.get('/', ({ body }, res) => {\n  eval(body);\n});", "const a = JSON.parse(req.body.a);\nel.innerHTML = a;",
+]
+
+
+@query("taint_flows", known("orders", "o_orderkey", len(FLOWS), "o{k}.ts", ["line", "sink", "confidence"], [(0, 2, "sql", "high"), (2, 3, "command", "high"), (3, 3, "sql", "high"), (4, 3, "command", "medium"), (5, 2, "nosql", "high"), (9, 2, "sql", "high"), (10, 2, "code", "high"), (11, 2, "html", "high")]))
+def taint_flows(spark, sf):
+    """Handler parameters, functions that return a source, fields set in a constructor, Object.assign, query operators, validation, receivers."""
+    from vigilake.operators import taint
+
+    return taint.findings(written(spark, sf, "orders", "o_orderkey", "o{k}.ts", FLOWS)).select("path", "line", "sink", "confidence")
+
+
+@query("dynamic_sinks", known("orders", "o_orderkey", 5, "o{k}.ts", ["line", "sink"], [(0, 1, "sql"), (2, 2, "command")]))
+def dynamic_sinks(spark, sf):
+    """A tainted line is left to the flow; constants, numbers and checked values are no dynamic parts."""
+    from vigilake.operators import taint
+
+    texts = ["db.query(`select ${name}`);", "db.query(`select ${TABLE}`);", "let b;\nexec('ls ' + dir);", "const a = req.body.a;\ndb.query('x' + a);", "const n = parseInt(x);\ndb.query('x' + n);"]
+    return taint.dynamic_sinks(written(spark, sf, "orders", "o_orderkey", "o{k}.ts", texts)).select("path", "line", "sink")
