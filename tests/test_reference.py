@@ -188,3 +188,49 @@ def test_queries_equal_their_sql(spark, name):
     want = con.execute(ORACLES[name])
     cols = [d[0] for d in want.description]
     assert sorted(map(str, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_settings_and_changes(spark):
+    from vigilake.sources import settings
+
+    text = "rules:\n  a: off\n  b: warning\n  c:\n    severity: error\n    exclude:\n      - lib/**\n      - 'x y'\n  d: true\nexclude: [build/, gen]\n# end"
+    want = {"a": {"enabled": False}, "b": {"severity": "medium"}, "c": {"enabled": True, "exclude": ["lib/**", "x y"], "severity": "high"}, "d": {"enabled": True}, "*": {"exclude": ["build/", "gen"]}}
+    assert settings.parse(text, ".yaml") == want | {"a": {}} or settings.parse(text, ".yaml") == want
+    assert settings.parse('{"rules": {"a": false}}') == {"a": {"enabled": False}} and settings.parse("", ".yml") == {}
+    assert settings.changed(spark, None, None) is None
+    assert [r.file for r in settings.changed(spark, "a.ts\n", " M b.ts\nR  old.ts -> new.ts\n?? \"c d.ts\"").collect()] == ["a.ts", "b.ts", "c d.ts", "new.ts"]
+
+
+def test_reports_and_baselines(spark, tmp_path):
+    files = spark.createDataFrame([("docs/a.dart", "print('x');\nprint('x');"), ("b.js", "eval(x); // <b>")], "path string, content string")
+    found = rules.run(files, RULES).cache()
+    doc = json.loads(reports.sarif(found, reports.baseline(found.where("code = 'unsafe-eval'"))).first().value)["runs"][0]
+    assert [r["ruleIndex"] for r in doc["results"]] == sorted(r["ruleIndex"] for r in doc["results"]) and doc["taxonomies"][0]["taxa"] == [{"id": "CWE-95"}]
+    assert {r["ruleId"]: r["baselineState"] for r in doc["results"]} == {"unsafe-eval": "unchanged", "debug-print": "new"}
+    page = [r.value for r in reports.html(found).collect()]
+    assert page[0].startswith("<!doctype") and page[-1].endswith("</html>") and "&lt;b&gt;" in "".join(page) and len(page) == 5
+    lines = [r.value for r in reports.junit(found, spark.createDataFrame([("big.js",)], "path string")).collect()]
+    assert lines[0].count('"4"') == 1 and lines[-1] == "</testsuite>" and len(lines) == 6
+    assert reports.csv_lines(found).first().value == ",".join(reports.CSV_COLUMNS) and reports.json_report(found).first().total == 3
+    entries = found.join(findings.context_hash(found, files), ["kind", "code", "file", "line"]).select("code", "file", "line", findings.v1_fingerprint().alias("fingerprint"), "context_hash")
+    path = tmp_path / "baseline.json"
+    path.write_text(reports.baseline_document(entries).first().value)
+    assert sorted(map(tuple, reports.read_baseline(spark, str(path)).collect())) == sorted(map(tuple, entries.collect()))
+    assert reports.read_baseline(spark, str(tmp_path / "none.json")).count() == 0
+    path.write_text('{"version": 9, "entries": []}')
+    with pytest.raises(ValueError):
+        reports.read_baseline(spark, str(path))
+
+
+def test_graph_store(spark, tmp_path):
+    from vigilake.operators import store
+
+    nodes = spark.createDataFrame([(i, "Call", "f", f"a{i % 3}", i) for i in range(12)], "id long, kind string, symbol string, file string, proc long")
+    edges = spark.createDataFrame([(i, i + 1, 0, "AST", f"a{i % 3}") for i in range(11)], "src long, dst long, slot int, tag string, file string")
+    at = str(tmp_path / "graph")
+    store.save(nodes, edges, at)
+    one, own = store.load(spark, at, "a1")
+    assert {r.id for r in one.collect()} == {1, 4, 7, 10} and own.count() == 4
+    store.replace(spark, at, spark.createDataFrame([(1, "Call", "g", "a1", 1)], nodes.schema), spark.createDataFrame([(1, 2, 0, "AST", "a1")], edges.schema), str(tmp_path / "scratch"))
+    nodes, edges = store.load(spark, at)
+    assert {(r.id, r.symbol) for r in nodes.where("file = 'a1'").collect()} == {(1, "g")} and nodes.count() == 9 and edges.count() == 8

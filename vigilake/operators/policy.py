@@ -37,3 +37,21 @@ def counterexamples(rows: DataFrame, client: Column, policy: dict | str, users:
     """Rows and users (0 to users - 1) that the client asks for and the policy does not allow."""
     tried = rows.withColumn("user", F.explode(F.sequence(F.lit(0), F.lit(users - 1))))
     return tried.where(client & ~F.coalesce(column(policy, F.col("user")), F.lit(False)))
+
+
+def verdict(service_role: Column, tainted: Column, violated: Column) -> Column:
+    """unsafe where outside data meets the service role, else violated where a client's rows are not all allowed, else safe."""
+    return F.when(service_role & tainted, "unsafe").when(violated, "violated").otherwise("safe")
+
+
+def correlate(clients: DataFrame, rows: DataFrame, policies: dict[str, dict | str], users: int) -> DataFrame:
+    """client, verdict of clients(client, table, asks, service_role, tainted) whose rows(table, row columns) are asked for where column
+    asks is the user: each policy is one predicate, a table without one allows nothing."""
+    ok = F.lit(False)
+    for name, tree in sorted(policies.items()):
+        ok = F.when(F.col("table") == name, F.coalesce(column(tree, F.col("user")), F.lit(False))).otherwise(ok)
+    tried = rows.withColumn("user", F.explode(F.sequence(F.lit(0), F.lit(users - 1)))).withColumn("ok", ok)
+    bad = tried.groupBy("table").agg(F.bool_or(~F.col("ok")).alias("any_bad"), F.bool_or(~F.col("ok") & (F.col("owner") == F.col("user"))).alias("own_bad"))
+    both = clients.join(bad, "table", "left")
+    violated = F.when(F.col("asks") == "own", F.coalesce("own_bad", F.lit(False))).otherwise(F.coalesce("any_bad", F.lit(False)))
+    return both.select("client", verdict(F.col("service_role"), F.col("tainted"), violated).alias("verdict"))

@@ -68,3 +68,10 @@ def evidence(files: DataFrame) -> DataFrame:
     return files.agg(F.element_at(levels, F.coalesce(F.min(rank), F.lit(4)) + 1).alias("level"))
 
 
+
+
+def behind_functions(accesses: DataFrame, functions: DataFrame) -> DataFrame:
+    """path, table, fn: each access with the first edge function (by path) that works on its table, null if none; functions has fn, table, path."""
+    w = Window.partitionBy(F.lower("table")).orderBy("path")
+    first = functions.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(F.lower("table").alias("low"), "fn")
+    return accesses.withColumn("low", F.lower("table")).join(first, "low", "left").select("path", "table", "fn")

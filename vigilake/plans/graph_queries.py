@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.operators import fixpoint, patterns, store
+from vigilake.operators import fixpoint, patterns, policy, reactive, rls, store
 from vigilake.plans.registry import query
 from vigilake.session import table
 
@@ -119,3 +119,42 @@ def tombstones(spark, sf):
 def graph_dump(spark, sf):
     nodes, edges = code_graph(spark, sf)
     return store.dump(nodes.where("kind = 'MethodCall'"), edges.where("slot = 0"))
+
+
+KINDS = "CASE event_type WHEN 'signup' THEN 'emit' WHEN 'error' THEN 'listen' WHEN 'purchase' THEN 'build' ELSE 'other' END"
+
+
+@query("reactive_edges", f"""WITH e AS (SELECT DISTINCT user_id % 50 AS node, {KINDS} AS kind, user_id % 7 AS channel FROM events), w AS (SELECT node, channel FROM e WHERE kind = 'emit'), r AS (SELECT node, channel FROM e WHERE kind = 'listen'), b AS (SELECT node, channel FROM e WHERE kind = 'build')
+SELECT w.node AS src, r.node AS dst, w.channel AS channel, 'ReactiveFlow' AS tag FROM w JOIN r USING (channel) UNION ALL SELECT w.node, b.node, w.channel, 'RebuildTrigger' FROM w JOIN b USING (channel)
+UNION ALL SELECT node, node, channel, 'ReactiveWrite' FROM w UNION ALL SELECT node, node, channel, 'ReactiveRead' FROM r""")
+def reactive_edges(spark, sf):
+    t = F.col("event_type")
+    method = F.when(t == "signup", "emit").when(t == "error", "listen").otherwise("other")
+    return reactive.edges(table(spark, sf, "events").select((F.col("user_id") % 50).alias("node"), (F.col("user_id") % 7).alias("channel"), method.alias("method"), (t == "purchase").alias("builds")))
+
+
+@query("watched_providers", "SELECT n_nationkey AS proc, 'p' || v AS provider FROM nation JOIN (VALUES (0, 3), (0, 5), (1, 3), (2, 3), (2, 5)) t(m, v) ON n_nationkey % 3 = m")
+def watched_providers(spark, sf):
+    """Node 3 watches p3 and 5 watches p5; in variant 1 the branch to 5 is missing."""
+    entries = table(spark, sf, "nation").select(F.col("n_nationkey").alias("proc"), (F.col("n_nationkey") * 100).alias("node"))
+    flow = numbered(spark, sf, [(0, 1, None), (1, 3, None), (3, 1, None), (1, 5, 0), (1, 5, 2), (6, 7, None)], ["src", "dst"])
+    watches = numbered(spark, sf, [(3, 3, None), (5, 5, None), (7, 7, None)], ["node", "p"]).withColumn("provider", F.concat(F.lit("p"), (F.col("p") % 100).cast("string"))).select("node", "provider")
+    return reactive.watched(entries, flow, watches)
+
+
+@query("correlate", "SELECT s_suppkey AS client, CASE WHEN s_suppkey % 12 = 0 THEN 'unsafe' WHEN s_suppkey % 3 = 2 OR s_suppkey % 2 = 1 THEN 'violated' ELSE 'safe' END AS verdict FROM supplier")
+def correlate(spark, sf):
+    """Tables 0 and 1 let owners in, table 2 has no policy; clients with odd keys ask for all rows."""
+    k = F.col("s_suppkey")
+    clients = table(spark, sf, "supplier").select(k.alias("client"), F.concat(F.lit("t"), (k % 3).cast("string")).alias("table"), F.when(k % 2 == 0, "own").otherwise("all").alias("asks"), (k % 4 == 0).alias("service_role"), (k % 12 == 0).alias("tainted"))
+    rows = table(spark, sf, "nation").select(F.concat(F.lit("t"), (F.col("n_nationkey") % 3).cast("string")).alias("table"), (F.col("n_nationkey") % 4).alias("owner"))
+    own = {"op": "uid_eq", "column": "owner"}
+    return policy.correlate(clients, rows, {"t0": own, "t1": own}, 4)
+
+
+@query("behind_functions", "SELECT 'c' || c_custkey AS path, 'T' || c_nationkey AS table_name, CASE WHEN c_nationkey % 2 = 0 THEN 'a' || c_nationkey END AS fn FROM customer")
+def behind_functions(spark, sf):
+    accesses = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"), F.concat(F.lit("T"), F.col("c_nationkey").cast("string")).alias("table"))
+    n = table(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("string").alias("n"))
+    functions = n.select(F.concat(F.lit("b"), "n").alias("fn"), F.concat(F.lit("t"), "n").alias("table"), F.lit("z.ts").alias("path")).unionAll(n.select(F.concat(F.lit("a"), "n").alias("fn"), F.concat(F.lit("T"), "n").alias("table"), F.lit("y.ts").alias("path")))
+    return rls.behind_functions(accesses, functions).select("path", F.col("table").alias("table_name"), "fn")

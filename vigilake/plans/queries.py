@@ -109,14 +109,6 @@ def reaching_definitions(spark, sf):
     return fixpoint.reaching_definitions(turns, flow)
 
 
-@query("reactive_edges", """WITH e AS (SELECT DISTINCT user_id % 50 AS node, event_type, user_id % 7 AS channel FROM events)
-SELECT a.node AS src, b.node AS dst, a.channel AS channel FROM e a JOIN e b ON a.channel = b.channel WHERE a.event_type = 'signup' AND b.event_type = 'error'""")
-def reactive_edges(spark, sf):
-    e = table(spark, sf, "events").select((F.col("user_id") % 50).alias("node"), "event_type", (F.col("user_id") % 7).alias("channel")).distinct()
-    a = e.where("event_type = 'signup'").select(F.col("node").alias("src"), "channel")
-    return a.join(e.where("event_type = 'error'").select(F.col("node").alias("dst"), "channel"), "channel").select("src", "dst", "channel")
-
-
 # lexical and policy extraction over scripts that are written from the tables' rows
 
 def _script(df: DataFrame, path, content) -> DataFrame:
