@@ -52,19 +52,30 @@ def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
     """Delete the folders named after the mark, but for the one that keep reads: a stage's intermediate tables."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     kept = {path(f).getParent().toUri().getPath() for f in keep.inputFiles()}
+    left = []
     for folder in _MADE[since:]:
         at = path(folder)
-        if at.toUri().getPath() not in kept:
+        if at.toUri().getPath() in kept:
+            left.append(folder)
+        else:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    del _MADE[since:]
+    _MADE[since:] = left
 
 
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = fresh(spark, what)
+    path, schema = fresh(spark, what), df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    if what != SMALL:
+        # shuffle files of what has been written go once the driver's JVM has dropped its plan, which it may not do for hours by itself
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+#: The name of tables that are written once a round.
+SMALL = "links"
 
 
 def drop(spark: SparkSession, *frames: DataFrame) -> None:
