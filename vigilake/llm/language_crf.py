@@ -112,8 +112,12 @@ def forward_backward(score: np.ndarray, row: np.ndarray, n: int, trans: np.ndarr
     return post[place], moves
 
 
-def fit(texts: list[bytes], langs: list[str], *, rounds: int = 40, rate: float = 0.25, seed: int = 3) -> dict | None:
-    """Adam steps on the likelihood of sequences of PIECES pieces of PIECE words."""
+#: Most training sequences of a fit, drawn at random from those of the sample.
+SEQUENCES = 6000
+
+
+def fit(texts: list[bytes], langs: list[str], *, sequences: int = SEQUENCES, rounds: int = 40, rate: float = 0.25, seed: int = 3) -> dict | None:
+    """Adam steps on the likelihood of sequences of PIECES pieces of PIECE words, sequences of them at most. Of equally likely labels the first by name wins."""
     names = sorted(set(langs))
     data = np.frombuffer(b"".join(texts), np.uint8)
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -127,7 +131,7 @@ def fit(texts: list[bytes], langs: list[str], *, rounds: int = 40, rate: float =
     plain = [pieces[i : i + PIECES] for i in range(0, len(pieces), PIECES)]
     mixed = [pieces[i] for i in rng.permutation(len(pieces))]
     mixed = [mixed[i : i + PIECES] for i in range(0, len(mixed), PIECES)]
-    chosen = [mixed[i] if rng.random() < 0.5 else plain[i] for i in rng.permutation(len(plain))[:6000]]
+    chosen = [mixed[i] if rng.random() < 0.5 else plain[i] for i in rng.permutation(len(plain))[:sequences]]
     idx = np.concatenate([np.arange(a, z) for seq in chosen for a, z in seq])
     seq = np.repeat(np.arange(len(chosen)), [sum(z - a for a, z in c) for c in chosen])
     y = label[row[idx]]
