@@ -222,7 +222,7 @@ def test_passages(docs, odd, empty):
 
 
 def test_flac(docs, odd, empty):
-    got = {r.doc_id: r for r in flac.digests(docs).collect()}
+    got = {r.doc_id: r for r in flac.digests(C.cut(flac.media(docs))).collect()}
     for k in TEXTS:
         body = flac.payload(raw(k))
         assert len(body) % 192 == 0 and len(body) > 0 and body.rstrip(b" ") == raw(k).rstrip(b" ")
@@ -232,7 +232,7 @@ def test_flac(docs, odd, empty):
     for r in flac.pcm_blocks(flac.media(docs)).collect():
         blocks[r.doc_id][r.sample_offset] = bytes(b ^ 0x80 for b in r.pcm)
     assert {k: b"".join(v[o] for o in sorted(v)) for k, v in blocks.items()} == {k: flac.payload(raw(k)) for k in TEXTS}
-    assert flac.digests(odd).count() == odd.count() and flac.digests(empty).count() == 0
+    assert flac.digests(flac.media(odd)).count() == odd.count() and flac.digests(flac.media(empty)).count() == 0
     stream = flac.encode([flac.payload(raw(10))])[0]
     first, part = flac.decode([stream], only=[(0, 2)])[0][0]
     assert first == 2 * flac.BLOCK and part.tobytes() == flac.payload(raw(10))[first : first + flac.BLOCK]
@@ -494,3 +494,171 @@ def test_token_records_of_another_tokenizer_file():
     enc.units = False
     ids2, at2 = enc.encode(data, off)
     assert ids.tolist() == ids2.tolist() and at.tolist() == at2.tolist()
+
+
+BSD_3 = """Copyright (c) 2019, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above
+   copyright notice, this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+   products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+
+
+def test_licenses_as_whole_texts(spark):
+    """Another wrapping, case or owner is the same licence; a changed clause or a missing one is not."""
+    import os
+
+    one = " ".join(BSD_3.split("\n\n", 1)[1].split())
+    texts = {1: BSD_3, 2: one, 3: "(c) 2001 A\n\n" + one.upper(), 4: BSD_3.replace("binary form must", "binary form need not"), 5: BSD_3 + "\nOne more rule.", 6: BSD_3.replace("this\n   list", "this list")}
+    terms = "(a) You must give a copy; and\n(b) You must mark changes; and\n(c) You must retain all notices."
+    own = {license_scan.digest_py(terms): "Terms"}
+    texts |= {7: terms, 8: terms.replace("retain", "remove"), 9: "Copyright 2020 B\n" + terms}
+    want = {1: "BSD-3-Clause", 2: "BSD-3-Clause", 3: "BSD-3-Clause", 4: None, 5: None, 6: "BSD-3-Clause", 7: "Terms", 8: None, 9: "Terms"}
+    for k, (name, path) in enumerate((("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("Apache-2.0", "Apache-2.0")), 20):
+        if os.path.exists(f"/usr/share/common-licenses/{path}"):
+            texts[k], want[k] = " ".join(open(f"/usr/share/common-licenses/{path}").read().split(" ")).replace("\n\n", "\n \n"), name
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.license for r in license_scan.scan(docs, own).collect()} == want
+
+
+def plain_flac(stream: bytes) -> bytes:
+    """Another decoder, bit by bit from the format's description: one stream of 8-bit mono samples as unsigned bytes."""
+    bits, at = "".join(f"{b:08b}" for b in stream), 0
+
+    def take(n):
+        nonlocal at
+        at += n
+        return int(bits[at - n : at], 2) if n else 0
+
+    def signed(n):
+        v = take(n)
+        return v - (1 << n) if n and v >> (n - 1) else v
+
+    assert take(32) == int.from_bytes(b"fLaC", "big")
+    last = 0
+    while not last:
+        last, kind, size = take(1), take(7), take(24)
+        at += 8 * size
+    out = []
+    while at < len(bits):
+        assert take(14) == 0b11111111111110 and take(2) == 0
+        code, rate, _, _, _ = take(4), take(4), take(4), take(3), take(1)
+        lead = take(8)
+        at += 8 * (0 if lead < 0x80 else 7 - (lead ^ 0xFF).bit_length())
+        n = {6: lambda: take(8) + 1, 7: lambda: take(16) + 1}.get(code, lambda: 192 if code == 1 else 576 << (code - 2) if code <= 5 else 256 << (code - 8))()
+        take(8)
+        take(1)
+        kind = take(6)
+        take(1)
+        if kind == 0:
+            x = [signed(8)] * n
+        elif kind == 1:
+            x = [signed(8) for _ in range(n)]
+        else:
+            order = kind - 8 if kind < 32 else kind - 31
+            x = [signed(8) for _ in range(order)]
+            coef, shift = [(), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1)][order] if kind < 32 else (), 0
+            if kind >= 32:
+                wide, shift = take(4) + 1, take(5)
+                coef = [signed(wide) for _ in range(order)]
+            wide, parts = 4 + take(2), 1 << take(4)
+            for p in range(parts):
+                k = take(wide)
+                for _ in range(n // parts - (order if p == 0 else 0)):
+                    q = bits.index("1", at) - at
+                    at += q + 1
+                    u = q << k | take(k)
+                    guess = sum(c * x[-1 - j] for j, c in enumerate(coef)) >> shift
+                    x.append((u >> 1 ^ -(u & 1)) + guess)
+        at += -at % 8 + 16
+        out += x
+    return bytes(v + 128 for v in out)
+
+
+def test_flac_by_another_decoder(monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [flac.payload(x) for x in (b"", raw(10), raw(8), rng.integers(0, 256, 3000, dtype=np.uint8).tobytes(), bytes(range(256)) * 6, b"a" * 4000)]
+    whole = flac.encode(rows)
+    assert [plain_flac(s) for s in whole] == rows
+    monkeypatch.setattr(flac, "GROUP", 2)  # pieces of a long text give the same stream
+    assert flac.encode(rows) == whole and [b"".join(x.tobytes() for _, x in found) for found in flac.decode(whole)] == rows
+
+
+@pytest.mark.parametrize("crowd", [0, 3, 20_000])
+def test_suffix_dedup_in_crowds_and_small_batches(spark, monkeypatch, crowd):
+    """One K-gram in many different spans: sorted together or dealt out by content, in batches that cut groups anywhere."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    line = prose(7, 12)[:60]
+    texts = {k: prose(k, 30) + line + prose(k % 5, 40) + (" " + line) * (k % 3) for k in range(40)} | {90: None, 91: "", 92: prose(3, 30) + line + prose(3, 40)}
+    rows = [(k, t) for k, t in texts.items()] + [(92, texts[92])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in (size, "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digests(frame).collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert got == removed(texts)
+
+
+def test_windows_that_share_a_hash_are_told_apart(spark):
+    a, b = b"x" * 100, b"y" * 100
+    rows = [(1, 1, 0, a), (1, 2, 0, b), (1, 3, 0, a), (1, 3, 5, b), (1, 3, 5, b), (2, 4, 0, b), (3, 1, 7, a), (3, 9, 7, a)]
+    for n in ("1", "3", "100"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        got = suffix_dedup.settle(spark.createDataFrame(rows, "kh long, id long, lo long, text binary")).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted((r.id, r.pack >> 32) for r in got) == [(3, 0), (3, 5), (3, 5), (9, 7)]
+
+
+def test_decontamination_where_only_the_table_hits():
+    """Texts whose q-grams share a slot of the table with needles, and none of whose q-grams is a needle's."""
+    index = decontaminate.Needles([(k, prose(9000 + k, 3).encode()[:20]) for k in range(300)])
+    hits = 0
+    for k in range(60):
+        text = np.frombuffer(prose(k, 400).encode(), np.uint8)
+        body, off, _ = decontaminate.plain(text, np.array([0, len(text)]))
+        hits += bool(index.table[decontaminate.grams(body) * decontaminate.HASH >> np.uint64(64 - decontaminate.TABLE_BITS)].any())
+        assert len(decontaminate.places(index, text, np.array([0, len(text)]))[0]) == 0
+    assert hits > 3
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars, chains of stars and repeated links, where hubs go another way than the rest."""
+    monkeypatch.setattr(linking, "HUB", 5)
+    links = [(0, i) for i in range(1, 40)] + [(39, i) for i in range(40, 80)] + [(200 - i, 201 - i) for i in range(30)] + [(90, i) for i in range(60, 100)] + [(300, 300), (301, 302), (302, 301)]
+    want = groups({x for p in links if p[0] != p[1] for x in p}, [p for p in links if p[0] != p[1]])
+    assert dict(linking.components(spark.createDataFrame(links + [(None, 5)], "a long, b long")).collect()) == want
+
+
+def test_texts_over_one_slice(spark, monkeypatch):
+    """A text of several MB stands alone in its slice; neighbours and results are as for any other text."""
+    long_ = prose(77, 60_000) * 8 + " the end"
+    texts = {1: prose(1, 50), 2: long_, 3: None, 4: prose(78, 70), 5: long_[:1000]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    assert len(long_) > C.SLICE_BYTES // 2
+    sha = {k: hashlib.sha256((t or "").encode()).hexdigest() for k, t in texts.items()}
+    assert {r.doc_id: (r.decoded_sha256, r.lossless) for r in sentencepiece_ffbs.digests(docs, PIECES).collect()} == {k: (v, True) for k, v in sha.items()}
+    got = {r.doc_id: r for r in flac.digests(C.cut(flac.media(docs))).collect()}
+    assert all(got[k].payload_sha256 == hashlib.sha256(flac.payload((t or "").encode())).hexdigest() for k, t in texts.items())
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.digests(docs).collect()}[5] == 1000
+    bench = spark.createDataFrame([(0, long_[-200:]), (1, prose(78, 70))], "item_id long, text string")
+    assert {r.doc_id: r["items"] for r in decontaminate.scan(docs, bench).collect()} == {1: [], 2: [0], 3: [], 4: [1], 5: []}
+    assert {r.doc_id for r in simhash.near_copies(docs).where("component <> doc_id").collect()} == set()
