@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from vigilake.operators.lexer import _rows
 
-NEXT, NAMED = r"//\s*sast-ignore-next-line", r"//\s*sast-ignore\s+([a-zA-Z0-9-]+)"
-ANY_NEXT, ANY_NAMED = re.compile(r"/[/*]\s*sast-ignore-next-line\b", re.I), re.compile(r"/[/*]\s*sast-ignore\s+([\w-]+)", re.I)
+WORD = "sast-ignore"
+NEXT, NAMED = rf"//\s*{WORD}-next-line", rf"//\s*{WORD}\s+([-\w]+)"
+ANY_NEXT, ANY_NAMED = (re.compile(rf"(?i)/[/*]\s*{WORD}{end}") for end in (r"-next-line\b", r"\s+([-\w]+)"))
 WINDOW = 8
 OPEN, CLOSE = "([{", ")]}"
 

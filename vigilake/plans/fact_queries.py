@@ -163,7 +163,7 @@ def policy_coverage(spark, sf):
 
 @query("ownership_filter", known(*CUSTOMER, 5, APP, ["table_name", "operation"], [(0, "orders", "select"), (3, "messages", "update")]))
 def ownership_filter(spark, sf):
-    texts = ["c.from('orders').select();", "c.from('orders').select().eq('user_id', u);", "c.from('messages').select().or('sender_id.eq.1,receiver_id.eq.1');", "c.from('messages').update(x).eq('id', {k});", "c.from('orders').insert(x);"]
+    texts = ["c.from('orders').select();", "c.from('orders').select().eq('user_id', u);", "c.from('messages').select('id').or('receiver_id.eq.{k},sender_id.eq.{k}');", "c.from('messages').update(x).eq('id', {k});", "c.from('orders').insert(x);"]
     none = spark.createDataFrame([], "table string, column string")
     return facts.unfiltered(facts.table_accesses(written(spark, sf, *CUSTOMER, APP, texts)), none).select("path", F.col("table").alias("table_name"), "operation")
 

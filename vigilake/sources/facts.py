@@ -70,11 +70,11 @@ def bucket_uses(files: DataFrame) -> DataFrame:
     return rows.select("path", "bucket", "operation", "line", (F.col("own") == "True").alias("own_path"), (F.col("sensitive") == "True").alias("sensitive"))
 
 
-TYPE_CHECK = re.compile(r"(?i)contenttype|mime|filetype|allowed(?:types|extensions)|pickimage|imagepicker|endswith\(\s*['\"][^'\"]*\.\w+['\"]")
-SIZED = r"(?:file_?size|sizeInBytes|contentLength|bytes\.length|lengthSync\(\)|max(?:Upload|File)?Size|picked\w*\.size)"
-SIZE_CHECK = re.compile(rf"(?i)\b{SIZED}[^;\n]{{0,40}}[<>]|[<>][^;\n]{{0,40}}\b{SIZED}|(?:if|assert)\s*\([^)]*\b{SIZED}")
+TYPE_CHECK = re.compile(r"(?i)contenttype|mime|filetype|allowed(?:types|extensions)|pickimage|imagepicker|endswith\([ ]*['\"][^'\"]*[.]\w+['\"]")
+SIZED = "(?:" + "|".join([r"bytes\.length", "contentLength", "file_?size", r"lengthSync\(\)", "max(?:File|Upload)?Size", r"picked\w*\.size", "sizeInBytes"]) + ")"
+SIZE_CHECK = re.compile(rf"(?i)\b{SIZED}[^;\n]{{0,40}}[<>]|[<>][^;\n]{{0,40}}\b{SIZED}|(?:assert|if) ?\([^)]*\b{SIZED}")
 HELPER = re.compile(r"(?i)\b(?:assert|check|ensure|guard|sanitize|validate|verify)\w*(?:attachment|avatar|file|image|media|upload)\w*\s*\(")
-DEFINES = re.compile(r"^\s*(?:[\w<>,?]+\s+)+\w+\s*\([^;]*\)\s*(?:async\s*)?(?:\{|=>)")
+DEFINES = re.compile(r"^[ \t]*(?:[\w?,<>]+[ \t]+)+\w+[ \t]*\([^;]*\)[ \t]*(?:async[ \t]*)?(?:=>|\{)")
 
 
 def uploads(files: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def env_entries(files: DataFrame) -> DataFrame:
 
     own = files.where(F.col("path").rlike(r"(^|/)\.env(\.[^/]*)?$"))
     lines = own.select("path", F.posexplode(F.split("content", "\n")).alias("i", "text"))
-    rx = r"^\s*([A-Z0-9_]+)\s*=\s*(.*?)\s*$"
+    rx = r"^[ \t]*([A-Z_0-9]+)[ \t]*=[ \t]*(.*?)[ \t]*$"
     rows = lines.where(F.col("text").rlike(rx)).select("path", (F.col("i") + 1).alias("line"), F.regexp_extract("text", rx, 1).alias("key"), F.regexp_extract("text", rx, 2).alias("value"))
     return rows.where(~F.col("value").startswith("#")).withColumn("value", unquoted(F.col("value")))
 
@@ -149,7 +149,7 @@ def owner_columns(tables: DataFrame, ddl_columns: DataFrame) -> DataFrame:
 
 def filters_by_owner(snippet: Column, columns: Column) -> Column:
     """Whether a query's text filters by one of the columns; the expression is made for each column of a row."""
-    forms = (r"(?i)\.(or|filter|match|eq)\([^\n;]{0,140}['\"]", r"['\"]"), (r"(?i)\.or\(\s*['\"][^'\"]*\b", r"\.eq\b")
+    forms = (r"(?i)\.(or|filter|match|eq)\([^\n;]{0,140}['\"]", r"['\"]"), (r"(?i)\.or\([ ]*['\"][^'\"]*\b", r"\.eq\b")
 
     def any_column(a: str, z: str) -> Column:
         return F.exists(columns, lambda c: F.rlike(snippet, F.concat(F.lit(a), c, F.lit(z))))
