@@ -1,7 +1,8 @@
 """Connected groups over links between ids, without collecting a group anywhere.
 
 Groups come from alternating large-star and small-star rounds. Every round is written to the shared folder, so its
-lineage is one scan and a lost executor costs one round at most. Links of hubs are never gathered: see with_least().
+lineage is one scan and a lost executor costs one round at most. Joins on a hub's id may be skewed; both sides are
+shuffled by the join alone, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -12,20 +13,6 @@ from pyspark.sql import functions as F
 from vigilake.llm import common as C
 
 
-#: Links of an id beyond which it is a hub, and most hubs: with E links, hubs have HUB or 2 E / HUBS of them at least.
-HUB, HUBS = 1000, 100_000
-
-
-def with_least(e: DataFrame, links: int, least) -> DataFrame:
-    """u, v, m of e(u, v): m is the least aggregate of v for each u. Hubs, HUBS at most, are broadcast and their links stay where they
-    are, so no task gets a hub's links; the others are joined on u."""
-    per = e.groupBy("u").agg(least.alias("m"), F.count("*").alias("n"))
-    most = max(HUB, -(-2 * links // HUBS))
-    hubs = F.broadcast(per.where(F.col("n") > most).select("u", "m"))
-    rest = e.join(hubs.select("u"), "u", "left_anti").join(per.where(F.col("n") <= most).select("u", "m"), "u")
-    return rest.select("u", "v", "m").unionAll(e.join(hubs, "u").select("u", "v", "m"))
-
-
 def components(links: DataFrame) -> DataFrame:
     """id, root for every id in links(a, b); root is the smallest id that it reaches. Null ends are ignored."""
     e = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -33,9 +20,11 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both, state[0], F.least("u", F.min("v"))).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = with_least(large, state[0], F.min("v")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.greatest("v", "m")).alias("u"), F.col("m").alias("v"))
-        after = C.cut(small.distinct(), C.SMALL)
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        after = C.cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), C.SMALL)
         C.drop(e.sparkSession, e)
         e, before, state = after, state, _state(after)
         if before == state:
