@@ -1,8 +1,8 @@
 """Connected groups over links between ids, without collecting a group anywhere.
 
 Groups come from alternating large-star and small-star rounds. Every round is written to the shared folder, so its
-lineage is one scan and a lost executor costs one round at most. Joins on a hub's id may be skewed; both sides are
-shuffled by the join alone, which adaptive execution splits.
+lineage is one scan and a lost executor costs one round at most. Joins on a hub's id are uneven: the links of one hub stream
+through one task, sorted on disk. Buckets send few of them, as members that are linked already do not come again.
 """
 
 from __future__ import annotations
