@@ -661,3 +661,18 @@ def test_texts_over_one_slice(spark, monkeypatch):
     bench = spark.createDataFrame([(0, long_[-200:]), (1, prose(78, 70))], "item_id long, text string")
     assert {r.doc_id: r["items"] for r in decontaminate.scan(docs, bench).collect()} == {1: [], 2: [0], 3: [], 4: [1], 5: []}
     assert {r.doc_id for r in simhash.near_copies(docs).where("component <> doc_id").collect()} == set()
+
+
+def test_few_links_need_few_jobs(spark, monkeypatch):
+    """The driver keeps plans, code and task records of every job: a long chain took dozens, in rounds."""
+    rng = np.random.default_rng(4)
+    chain = rng.permutation(3000).tolist()
+    links = list(zip(chain[:-1], chain[1:])) + [(5000, 5000 + k) for k in range(1, 400)] + [(7001, 7000), (7000, 7001), (None, 3), (9, 9)]
+    frame = C.cut(spark.createDataFrame(links, "a long, b long"))
+    want = {k: 0 for k in range(3000)} | {5000 + k: 5000 for k in range(400)} | {7000: 7000, 7001: 7000}
+    spark.sparkContext.setJobGroup("few links", "")
+    got = dict(linking.components(frame).collect())
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links"))
+    spark.sparkContext.setJobGroup("other", "")
+    monkeypatch.setattr(linking, "LOCAL", 0, raising=False)
+    assert got == want == dict(linking.components(frame).collect()) and jobs <= 8
