@@ -133,3 +133,12 @@ def test_run_keeps_only_its_result(spark, folder, monkeypatch):
     got = corpus_pipeline.run(spark, folder).collect()
     ids = {r.doc_id for r in got}
     assert {1, 7, 8, 11, 13} <= ids and not ids & {2, 3, 9, 10, 100, 105} and len(C._MADE) - made <= 1
+
+
+def test_near_copies_by_fingerprint(spark, folder):
+    """Fingerprints of at most RADIUS different bits are near copies, even where sets of shingles, which know no repeats, are unlike."""
+    texts = {1: "buy " * 400 + prose(70, 7), 2: "buy " * 400 + prose(71, 7), 3: prose(72, 80), 4: None}
+    fp = {r.doc_id: r.fp for r in simhash.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert ((fp[1] ^ fp[2]) & (1 << 64) - 1).bit_count() <= simhash.RADIUS and len(set(jaccard_groups(texts).values())) == 4
+    data = [(k, t, "en", "s", 0) for k, t in texts.items()]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, clashing(spark, data), folder).collect()) == [1, 3, 4]

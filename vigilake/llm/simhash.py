@@ -36,15 +36,20 @@ def majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprint_texts(data: np.ndarray, off: np.ndarray, words: int) -> np.ndarray:
+    """The fingerprint of each row, as a signed long."""
+    raw, at = data.tobytes(), off.tolist()
+    each = [hashes(raw[a:b], words) for a, b in zip(at[:-1], at[1:])]
+    ends = np.cumsum([0, *map(len, each)])
+    flat = np.fromiter((x for e in each for x in e), np.uint64, ends[-1])
+    return majority(flat, ends).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """id, fp: the 64-bit fingerprint as a signed long."""
 
     def kernel(part, data, off):
-        raw, at = data.tobytes(), off.tolist()
-        each = [hashes(raw[a:b], words) for a, b in zip(at[:-1], at[1:])]
-        ends = np.cumsum([0, *map(len, each)])
-        flat = np.fromiter((x for e in each for x in e), np.uint64, ends[-1])
-        return {"id": part.column(0), "fp": majority(flat, ends).view(np.int64)}
+        return {"id": part.column(0), "fp": fingerprint_texts(data, off, words)}
 
     return C.map_texts(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id long, fp long", kernel, limit=1 << 20)
 
@@ -66,15 +71,19 @@ def meet(nodes: DataFrame, width: int) -> DataFrame:
     return members.join(tables, "bucket").where("not home or n > 1").select("bucket", "id", "f", "home", "hub", "hub_f")
 
 
-def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
-    """key, fp, component: the smallest id reachable over links of at most radius bits, the own id included."""
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links(a, b) that leave the groups that all pairs of nodes(fp, id; one row a fingerprint) of at most radius bits would."""
     if radius > 3:
         raise ValueError("two segments with balls of radius one find distances up to 3")
+    halves = F.array(F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("fp", 32))
+    return link_buckets(C.cut(meet(nodes.select("id", F.col("fp").alias("f"), halves.alias("segs")), 32), "hits"), within(radius))
+
+
+def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
+    """key, fp, component: the smallest id reachable over links of at most radius bits, the own id included."""
     rows = C.cut(fingerprints(docs, key=key, text=text, words=words), "fingerprints")
     nodes = C.cut(rows.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    halves = F.array(F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("fp", 32))
-    hits = C.cut(meet(nodes.select("id", F.col("fp").alias("f"), halves.alias("segs")), 32), "hits")
-    roots = components(link_buckets(hits, within(radius))).withColumnRenamed("id", "rid")
+    roots = components(fingerprint_links(nodes, radius)).withColumnRenamed("id", "rid")
     named = nodes.join(roots, F.col("id") == F.col("rid"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "id").alias("component"))
     return rows.join(named, F.col("fp") == F.col("of"), "left").select(F.col("id").alias(key), "fp", "component")
 
@@ -152,9 +161,10 @@ def candidates(met: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, component for every row with a key: groups linked by similarity of five-word shingles.
+    """key, component for every row with a key: groups linked by SimHash fingerprints and by similarity of five-word shingles.
 
-    Candidates come from prefixes: of two sets of which 4/5 of the union is common, the first n - ceil(4 n / 5) + 1 + MORE
+    Texts whose fingerprints, those of groups(), differ in at most RADIUS bits are linked first. Fingerprints miss many pairs with
+    a part of their own, so texts in different groups are then compared by their shingles. Candidates come from prefixes: of two sets of which 4/5 of the union is common, the first n - ceil(4 n / 5) + 1 + MORE
     shingles of each in any common order, here rarest first, share MORE + 1, so no pair is missed. Members of a shingle are
     compared with its hub first (the smallest id), each text with the hub it shares most with and then with those in other
     groups; where a shingle still holds more than one group, pairs across groups are compared. Every pair is verified on its
@@ -166,20 +176,25 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
     def kernel(part, data, off):
         raw, at = data.tobytes(), off.tolist()
-        return {"id": part.column(0), "same": [xxhash.xxh3_128_digest(b" ".join(raw[a:b].lower().split())) for a, b in zip(at[:-1], at[1:])]}
+        same = [xxhash.xxh3_128_digest(b" ".join(raw[a:b].lower().split())) for a, b in zip(at[:-1], at[1:])]
+        return {"id": part.column(0), "same": same, "fp": fingerprint_texts(data, off, 3)}
 
-    marked = C.cut(C.map_texts(rows, "id long, same binary", kernel, limit=1 << 20), "words")
-    nodes = C.cut(marked.groupBy("same").agg(F.min("id").alias("id")), "nodes")
+    marked = C.cut(C.map_texts(rows, "id long, same binary, fp long", kernel, limit=1 << 20), "words")
+    nodes = C.cut(marked.groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp")), "nodes")
     since = C.mark()
+    points = C.cut(nodes.groupBy("fp").agg(F.min("id").alias("id")), "points")
+    equal = nodes.withColumnRenamed("id", "a").join(points.withColumnRenamed("id", "b"), "fp").where("a <> b").select("a", "b")
+    alike = C.cut(fingerprint_links(points).unionAll(equal), "alike")
     texts = C.cut(rows.join(nodes.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     entered = C.cut(entries(texts), "entries")
     tables = entered.groupBy("bucket").agg(F.min(F.struct("id", "f")).alias("hub"), F.count("*").alias("n")).where("n > 1")
     hits = C.cut(entered.join(tables.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.f").alias("hub_f")), "bucket"), "hits")
     star = hits.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), "f", F.col("hub_f").alias("other_f"))
-    star = C.cut(candidates(star), "star")
+    star = C.cut(across(candidates(star), components(alike), "shared"), "star")
     best = star.groupBy("a").agg(F.max_by("b", F.struct("shared", F.negate("b"))).alias("b"))
     first = C.cut(similar(best, texts), "first")
-    links = first.unionAll(C.cut(similar(across(star.select("a", "b"), components(first)), texts), "more"))
+    links = alike.unionAll(first)
+    links = links.unionAll(C.cut(similar(across(star.select("a", "b"), components(links)), texts), "more"))
     own = hits.join(components(links).withColumnRenamed("id", "gid"), F.col("id") == F.col("gid"), "left").select("bucket", "id", "f", F.coalesce("root", "id").alias("root"))
     own = C.cut(own, "grouped")
     mixed = own.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
