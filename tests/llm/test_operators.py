@@ -676,3 +676,17 @@ def test_few_links_need_few_jobs(spark, monkeypatch):
     spark.sparkContext.setJobGroup("other", "")
     monkeypatch.setattr(linking, "LOCAL", 0, raising=False)
     assert got == want == dict(linking.components(frame).collect()) and jobs <= 8
+
+
+def test_texts_meet_once_in_a_token(spark, monkeypatch):
+    """Pairs that share nothing but a template with others meet these in its tokens, not once more for each signature in it."""
+    template, texts = prose(900, 40), {}
+    for k in range(50):
+        body = prose(910 + k, 6) + " " + template + " " + prose(1110 + k, 6)
+        texts |= {2 * k + side: prose(2000 + 2 * k + side, 30) + " " + body + " " + prose(3000 + 2 * k + side, 30) for side in (0, 1)}
+    seen, cut = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df, what="cut": (seen.append(out := cut(df, what)), out)[1] if what == "hubs" else cut(df, what))
+    monkeypatch.setattr(C, "sweep", lambda *_: None)
+    compact_windows.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    most = seen[0].groupBy("id").count().agg({"count": "max"}).first()[0]
+    assert 0 < most <= len(template.split()) - shingles.SHINGLE + 1
