@@ -690,3 +690,27 @@ def test_texts_meet_once_in_a_token(spark, monkeypatch):
     compact_windows.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     most = seen[0].groupBy("id").count().agg({"count": "max"}).first()[0]
     assert 0 < most <= len(template.split()) - shingles.SHINGLE + 1
+
+
+def test_windows_are_compared_only_where_spans_share_enough():
+    """Spans of one K-gram: windows equal those of a dictionary, and of spans that share little but the K-gram none is looked at."""
+    rng = np.random.default_rng(8)
+    gram = b"k" * suffix_dedup.K
+    pool = [bytes(rng.integers(97, 99, 76, dtype=np.uint8)) for _ in range(6)]
+    for sides in (lambda: (pool[rng.integers(6)], pool[rng.integers(6)]), lambda: (bytes(rng.integers(0, 256, 76, dtype=np.uint8)),) * 2):
+        rows = []
+        for i in range(300):
+            (x, y), before, behind = sides(), int(rng.integers(0, 77)), int(rng.integers(0, 77))
+            if before + behind >= 76:
+                rows.append((i // 100, i // 3, before, x[76 - before :] + gram + y[:behind]))
+        group, ids, before, text = zip(*rows)
+        data, off = np.frombuffer(b"".join(text), np.uint8), np.cumsum([0, *map(len, text)])
+        row, d, again = suffix_dedup.repeats(data, off, *map(np.array, (group, before, ids)), np.array(before) + 1000 * np.arange(len(ids)))
+        seen, want = set(), set()
+        for r, t in enumerate(text):
+            for w in range(len(t) - 99):
+                own = (group[r], before[r] - w, t[w : w + 100])
+                want |= {(r, before[r] - w)} if own in seen else set()
+                seen.add(own)
+        assert set(zip(row[again].tolist(), d[again].tolist())) == want
+        assert want if len(set(text[0][:3])) < 3 else len(row) == 0
