@@ -714,3 +714,19 @@ def test_windows_are_compared_only_where_spans_share_enough():
                 seen.add(own)
         assert set(zip(row[again].tolist(), d[again].tolist())) == want
         assert want if len(set(text[0][:3])) < 3 else len(row) == 0
+
+
+def test_only_texts_of_pairs_are_sent(spark, monkeypatch):
+    """Texts that no pair names stay where they are, and many pairs are verified in several passes with the same result."""
+    texts = {k: prose(8500 + k, 30) + " " + LINE + " " + prose(8600 + k, 30) for k in range(12)} | {k: prose(8700 + k, 90) for k in range(20, 60)}
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in range(12) for b in range(a)], "a long, b long")
+    seen, cut = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df, what="cut": (seen.append((what, out := cut(df, what))), out)[1])
+    got = []
+    for most in (1000, 10):
+        monkeypatch.setattr(compact_windows, "PAIRS", most, raising=False)
+        got.append(sorted(map(tuple, compact_windows.verify_whole(pairs, rows).collect())))
+    assert got[0] == got[1] and len({x[:2] for x in got[0]}) == 66
+    assert [df.count() for what, df in seen if what == "texts"] == [12, 12]
+    assert [what for what, _ in seen].count("passages") == 1 + 2
