@@ -730,3 +730,28 @@ def test_only_texts_of_pairs_are_sent(spark, monkeypatch):
     assert got[0] == got[1] and len({x[:2] for x in got[0]}) == 66
     assert [df.count() for what, df in seen if what == "texts"] == [12, 12]
     assert [what for what, _ in seen].count("passages") == 1 + 2
+
+
+def test_sampling_holds_little_at_once(spark):
+    """What is held while 6 MB of text are segmented."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Frame:
+        select = withColumnRenamed = lambda self, *_: self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    rng, words = np.random.default_rng(12), prose(12, 20_000).split()
+    texts = [" ".join(words[i] for i in rng.integers(0, 20_000, 5_000)) for _ in range(200)]
+    frame = sentencepiece_ffbs.sample(Frame(), PIECES)
+    batch = [pa.record_batch({"id": pa.array(range(len(texts))), "text": pa.array(texts)})]
+    sentencepiece_ffbs.pieces(PIECES)
+    tracemalloc.start()
+    assert sum(b.num_rows for b in frame.run(batch)) == len(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130 << 20

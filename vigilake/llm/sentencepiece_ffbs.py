@@ -199,6 +199,8 @@ def decode(p: Pieces, ids: np.ndarray, off: np.ndarray):
     return data[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
 
+#: Bytes of text that sample() segments at once, next to what other stages have left in an executor; ids do not depend on it.
+SAMPLED = 2 << 20
 _PIECES: dict = {}
 
 
@@ -219,7 +221,7 @@ def sample(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
         ids, at = encode(pieces(model, alpha), _keys(part.column(0)), data, off, seed)
         return {"id": part.column(0), "ids": pa.ListArray.from_arrays(at.astype(np.int32), ids)}
 
-    return C.map_texts(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id long, ids array<int>", kernel).withColumnRenamed("id", key)
+    return C.map_texts(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id long, ids array<int>", kernel, limit=SAMPLED).withColumnRenamed("id", key)
 
 
 def restore(encoded: DataFrame, model: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
