@@ -755,3 +755,71 @@ def test_sampling_holds_little_at_once(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 130 << 20
+
+
+def test_pairs_hold_little_at_once(spark, monkeypatch):
+    """What is held while one short text is compared with 9 MB of long ones, and how much a batch of pairs may hold."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = prose(13, 5_000).split()
+    texts = {k: LINE + " " + " ".join(words[i] for i in np.random.default_rng(k).integers(0, 5_000, 5_000)) for k in range(1, 300)} | {0: LINE}
+    name, seen, sizes, real, cut = "spark.sql.execution.arrow.maxBytesPerBatch", [], [], C.map_texts, C.cut
+    monkeypatch.setattr(C, "map_texts", lambda df, schema, kernel, **more: (seen.append((schema, kernel, more)), real(df, schema, kernel, **more))[1])
+    monkeypatch.setattr(C, "cut", lambda df, what="cut": (sizes.append(spark.conf.get(name, None)) if what == "passages" else None, cut(df, what))[1])
+    rows = spark.createDataFrame([(0, LINE), (1, LINE)], "id long, text string")
+    found = compact_windows.verify_whole(spark.createDataFrame([(1, 0)], "a long, b long"), rows)
+    assert found.count() == 1 and sizes == [str(compact_windows.BATCH)] and spark.conf.get(name, None) is None
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    (schema, kernel, more), ids = seen[-1], sorted(texts)[1:]
+    frame = real(Frame(), schema, kernel, **more)
+    batch = pa.record_batch({"a": pa.array(ids), "b": pa.array([0] * len(ids)), "part": pa.array([texts[k] for k in ids]), "text": pa.array([LINE] * len(ids))})
+    C.powers(1 << 19)
+    tracemalloc.start()
+    got = sum(b.num_rows for b in frame.run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == len(ids) and peak < 100 << 20
+
+
+def test_batches_of_pairs_are_small(spark):
+    """The bytes of Arrow batches that workers get, with and without a bound, and that a session's own setting stays."""
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 2000, 1, 1).selectExpr("repeat('abcdefghij', 300) as text")
+    sizes = rows.mapInArrow(lambda batches: (pa.record_batch({"n": pa.array([b.nbytes])}) for b in batches), "n long")
+    most = lambda: max(r.n for r in sizes.select("n").collect())
+    with C.batches_of(spark, 1 << 20):
+        small = most()
+    assert small < 2 << 20 < 5 << 20 < most()
+    spark.conf.set(name, "3m")
+    with C.batches_of(spark, 1 << 20):
+        own = spark.conf.get(name)
+    assert own == spark.conf.get(name) == "3m"
+    spark.conf.unset(name)
+
+
+def test_shifts_equal_those_of_a_search():
+    """The occurrence whose shift is next to that of the token before, also where most tokens repeat."""
+    rng = np.random.default_rng(14)
+    for k in range(300):
+        x, y = (rng.integers(0, (3, 30, 300)[k % 3], n).astype(np.uint64) for n in rng.integers(20, 120, 2))
+        order = np.argsort(y, kind="stable")
+        at, ends = np.searchsorted(y[order], x), np.searchsorted(y[order], x, "right")
+        h = np.flatnonzero(ends > at)
+        if not len(h):
+            continue
+        one = [i for i in h.tolist() if ends[i] - at[i] == 1]
+        last, want = int(order[at[one[0]]]) - one[0] if one else None, []
+        for i in h.tolist():
+            places = [int(p) - i for p in order[at[i] : ends[i]]]
+            last = places[0] if last is None else min(places, key=lambda p: abs(p - last))
+            want.append(last)
+        assert compact_windows._shifts(h, order, at, ends).tolist() == want
