@@ -47,6 +47,12 @@ def test_fingerprint_and_entropy(spark):
     assert {r.w: round(r.e, 6) for r in got}["foobar"] == 2.251629
 
 
+def test_fingerprint_whose_lower_half_is_nearly_full(spark):
+    """Divided by 2^32, this hash was rounded up to the next upper half."""
+    text = "jwt-misuse\x01repo5/docs/45255_14/web/w45255.ts\x01token is decoded, not verified"
+    assert spark.createDataFrame([(text,), (None,)], "w string").select(X.fnv1a64(F.col("w"))).collect() == [("6a647a75fffffc3b",), (None,)]
+
+
 def test_public_ip_and_sizes(spark):
     ips = {"8.8.8.8": True, "10.1.1.1": False, "192.168.0.1": False, "100.64.0.1": False, "203.0.113.9": False, "300.1.1.1": False, "172.32.0.1": True, "224.0.0.1": False}
     got = dict(spark.createDataFrame([(i,) for i in ips], "i string").select("i", X.public_ipv4(F.col("i"))).collect())

@@ -17,21 +17,20 @@ def confidence_rank(c: Column) -> Column:
 
 
 def fnv1a64(text: Column) -> Column:
-    """FNV-1a over the UTF-8 bytes as 16 hex digits, in decimal arithmetic that cannot overflow."""
-    code = F.hex(F.encode(text, "UTF-8"))
-    bytes_ = F.transform(F.sequence(F.lit(0), F.greatest(F.length(code) / 2 - 1, F.lit(-1)).cast("int"), F.lit(1)), lambda i: F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    bytes_ = F.when(F.length(code) == 0, F.array().cast("array<int>")).otherwise(bytes_)
-    d = "decimal(38,0)"
-    start, prime, whole = F.lit("14695981039346656037").cast(d), F.lit("1099511628211").cast(d), F.lit("18446744073709551616").cast(d)
-
-    def step(h: Column, b: Column) -> Column:
-        low = (h % F.lit(256).cast(d)).cast("int")
-        return (((h - low.cast(d) + low.bitwiseXOR(b).cast(d)).cast(d) * prime) % whole).cast(d)
-
-    h = F.aggregate(bytes_, start, step)
-    high, low = F.floor(h / F.lit("4294967296").cast(d)), (h % F.lit("4294967296").cast(d))
-    word = lambda x: F.lpad(F.lower(F.hex(x.cast("long"))), 8, "0")
-    return F.concat(word(high), word(low))
+    """FNV-1a over the UTF-8 bytes as 16 hex digits, in halves of 32 bits: the prime is 2^40 + 435, so no product reaches 2^42."""
+    # one character a byte
+    chars = F.filter(F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), ""), lambda c: c != "")
+    long_ = lambda n: F.lit(n).cast("long")
+    mask = long_(0xFFFFFFFF)
+
+    def step(h: Column, c: Column) -> Column:
+        low = h["low"].bitwiseXOR(F.ascii(c).cast("long"))
+        high = h["high"] * long_(435) + F.shiftleft(low, 8) + F.shiftright(low * long_(435), 32)
+        return F.struct(high.bitwiseAND(mask).alias("high"), (low * long_(435)).bitwiseAND(mask).alias("low"))
+
+    start = F.struct(long_(0xCBF29CE4).alias("high"), long_(0x84222325).alias("low"))
+    word = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
+    return F.aggregate(chars, start, step, lambda h: F.concat(word(h["high"]), word(h["low"])))
 
 
 def entropy(text: Column) -> Column:
