@@ -8,7 +8,7 @@ from vigilake.functions import columns as X
 from vigilake.functions import reports
 from vigilake.operators import findings, fixpoint, lexer, policy, rules, taint
 from vigilake.operators.catalog import RULES
-from vigilake.sources import corpus, ddl
+from vigilake.sources import corpus, ddl, facts
 
 CASES = [
     ("a.dart", "  print('x');", "debug-print", True), ("a.dart", "  print(password);", "debug-print", False), ("a.dart", "  print(password);", "sensitive-logging", True),
@@ -53,6 +53,12 @@ def test_fingerprint_whose_lower_half_is_nearly_full(spark):
     assert spark.createDataFrame([(text,), (None,)], "w string").select(X.fnv1a64(F.col("w"))).collect() == [("6a647a75fffffc3b",), (None,)]
 
 
+def test_versions_with_large_numbers(spark):
+    rows = [("dio", "^4.1000160.0"), ("dio", "4.9.2000000"), ("dio", "5.0.0"), ("dio", "005.0"), ("dio", "4." + "9" * 30), ("dio", "1" + "0" * 30), ("dio", "any"), ("dio", None)]
+    got = facts.vulnerable(spark.createDataFrame(rows, "name string, version string"))
+    assert {r.version for r in got.collect()} == {"^4.1000160.0", "4.9.2000000", "4." + "9" * 30}
+
+
 def test_public_ip_and_sizes(spark):
     ips = {"8.8.8.8": True, "10.1.1.1": False, "192.168.0.1": False, "100.64.0.1": False, "203.0.113.9": False, "300.1.1.1": False, "172.32.0.1": True, "224.0.0.1": False}
     got = dict(spark.createDataFrame([(i,) for i in ips], "i string").select("i", X.public_ipv4(F.col("i"))).collect())

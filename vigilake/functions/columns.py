@@ -50,9 +50,13 @@ def public_ipv4(ip: Column) -> Column:
 
 
 def semver_key(version: Column) -> Column:
-    """major, minor, patch as one number; missing parts are zero."""
-    part = lambda i: F.coalesce(F.regexp_extract(version, r"(\d+)(?:\.(\d+))?(?:\.(\d+))?", i).try_cast("long"), F.lit(0))
-    return part(1) * 1_000_000_000_000 + part(2) * 1_000_000 + part(3)
+    """major, minor, patch to compare versions by, each as the length and the digits of its number; missing parts are zero."""
+
+    def part(i: int) -> Column:
+        digits = F.ltrim(F.coalesce(F.regexp_extract(version, r"(\d+)(?:\.(\d+))?(?:\.(\d+))?", i), F.lit("")), F.lit("0"))
+        return F.struct(F.length(digits).alias("length"), digits.alias("digits"))
+
+    return F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"))
 
 
 def byte_size(text: Column) -> Column:

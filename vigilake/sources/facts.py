@@ -183,8 +183,8 @@ def vulnerable(dependencies: DataFrame) -> DataFrame:
     """Dependencies below the first sound version; versions without a number are left alone."""
     from vigilake.functions.columns import semver_key
 
-    bad = dependencies.sparkSession.createDataFrame(sorted(FIXED.items()), "name string, fixed string")
-    return dependencies.where(F.col("version").rlike(r"\d")).join(F.broadcast(bad), "name").where(semver_key(F.col("version")) < semver_key(F.col("fixed")))
+    bad = dependencies.sparkSession.createDataFrame(sorted(FIXED.items()), "name string, fixed string").withColumn("_key", semver_key(F.col("fixed")))
+    return dependencies.where(F.col("version").rlike(r"\d")).join(F.broadcast(bad), "name").where(semver_key(F.col("version")) < F.col("_key")).drop("_key")
 
 
 SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
