@@ -15,7 +15,7 @@ from vigilake.functions import columns as X
 from vigilake.functions import paths
 from vigilake.operators import policy, rls
 from vigilake.plans.registry import query
-from vigilake.session import table
+from vigilake.session import spread, table
 from vigilake.sources import facts
 
 
@@ -24,7 +24,7 @@ def written(spark, sf, name: str, key: str, path: str, variants: list[str]) -> D
     k = F.col(key)
     text = F.element_at(F.array(*map(F.lit, variants)), (k % len(variants) + 1).cast("int"))
     fill = lambda c: F.replace(c, F.lit("{k}"), k.cast("string"))
-    return table(spark, sf, name).select(fill(F.lit(path)).alias("path"), fill(text).alias("content"))
+    return spread(table(spark, sf, name).select(key), key).select(fill(F.lit(path)).alias("path"), fill(text).alias("content"))
 
 
 def known(name: str, key: str, n: int, path: str, columns: list[str], rows: list[tuple]) -> str:

@@ -16,7 +16,7 @@ from vigilake.operators import rules, suppressions
 from vigilake.plans import samples as S
 from vigilake.plans.registry import query
 from vigilake.plans.rule_queries import COLUMNS, expected, sample_files
-from vigilake.session import cut, table
+from vigilake.session import cut, spread, table
 
 REPO_SQL = "'repo' || (s_suppkey % 10) || '/' || CASE WHEN s_suppkey % 4 = 3 THEN 'docs/' ELSE '' END || s_suppkey || '_'"
 FOUND_SQL = f"WITH findings AS ({expected(S.REPOSITORY, 'supplier', 's_suppkey', 's_suppkey % 4 IN (0, 3)', REPO_SQL)})"
@@ -214,7 +214,7 @@ DIRECTIVES = [
 
 def directive_files(spark, sf) -> DataFrame:
     key = F.col("o_orderkey")
-    return table(spark, sf, "orders").select(F.concat(F.lit("o"), key.cast("string"), F.lit(".ts")).alias("path"), F.element_at(F.array(*map(F.lit, DIRECTIVES)), (key % 5 + 1).cast("int")).alias("content"))
+    return spread(table(spark, sf, "orders").select(key), "o_orderkey").select(F.concat(F.lit("o"), key.cast("string"), F.lit(".ts")).alias("path"), F.element_at(F.array(*map(F.lit, DIRECTIVES)), (key % 5 + 1).cast("int")).alias("content"))
 
 
 @query("suppression_windows", """SELECT 'o' || o_orderkey || '.ts' AS file, line, code FROM orders JOIN (VALUES (0, 2, 'injection-flaw'), (0, 3, 'injection-flaw'), (0, 4, 'injection-flaw'), (1, 4, '*'), (2, 2, 'redos'), (2, 3, 'redos')) v(m, line, code)

@@ -14,7 +14,7 @@ from vigilake.operators.catalog import RULES
 from vigilake.operators.rules import _quote, _sql
 from vigilake.plans import samples as S
 from vigilake.plans.registry import ORACLES, QUERIES
-from vigilake.session import table
+from vigilake.session import spread, table
 from vigilake.sources import corpus
 
 COLUMNS = ["kind", "code", "severity", "confidence", "category", "cwe", "message", "file", "line", "text"]
@@ -23,7 +23,7 @@ COLUMNS = ["kind", "code", "severity", "confidence", "category", "cwe", "message
 def sample_files(keys: DataFrame, samples: list[S.Sample], prefix: Column) -> DataFrame:
     """path, content of a file for each key(k string, mode int) and sample: mode 0 is reported, 1 clean, 2 reported text behind comment marks."""
     rows = ", ".join(f"named_struct('i', '{i}', 'path', {_sql(s.path)}, 'reported', {_sql(s.reported)}, 'clean', {_sql(s.clean)})" for i, s in enumerate(samples))
-    all_ = keys.select("*", F.explode(F.expr(f"array({rows})")).alias("s"))
+    all_ = spread(keys, "k").select("*", F.explode(F.expr(f"array({rows})")).alias("s"))
     text = F.when(F.col("mode") == 0, F.col("s.reported")).when(F.col("mode") == 1, F.col("s.clean")).otherwise(F.concat(F.lit("// "), F.replace("s.reported", F.lit("\n"), F.lit("\n// "))))
     fill = lambda c: F.replace(c, F.lit("{k}"), F.col("k"))
     return all_.select(F.concat(prefix, F.col("s.i"), F.lit("/"), fill(F.col("s.path"))).alias("path"), fill(text).alias("content"), "k")

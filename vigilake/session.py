@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over the cluster by their key. A small file, or one whose rows are in one group, is read by one task whatever the
+    cluster's size; this goes before work that costs far more than moving a row's key."""
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, 32), key)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the folder that the cluster shares and read it back, so that its lineage is one scan."""
     spark = df.sparkSession
