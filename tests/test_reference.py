@@ -256,6 +256,33 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_nearest_of_odd_and_of_many(spark, tmp_path):
+    """Ties, rounded differences, groups without a partner, and values that are no finite number, as SQL has them."""
+    import duckdb
+
+    rnd, odd = random.Random(3), [None, float("nan"), float("inf"), -float("inf"), 1e17, 1e17 + 16, -0.0, 0.0]
+    value = lambda: rnd.choice([round(rnd.uniform(-50, 50), 1), float(rnd.randrange(-3, 4)), rnd.choice(odd)])
+    customers = [(i, rnd.choice([0, 1, 2, None, 7]), value()) for i in range(400)] + [(900 + i, 4, x) for i, x in enumerate((None, float("nan"), None))]
+    suppliers = [(i % 290, rnd.choice([0, 1, 2, None, 4, 9]), value()) for i in range(300)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    for t in ("customer", "supplier"):
+        duckdb.sql(f"create or replace temp view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = duckdb.sql(queries.ORACLES["nearest_element"]).fetchall()
+    assert sorted(map(tuple, queries.QUERIES["nearest_element"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_nearest_makes_no_pairs(spark, tmp_path):
+    """A group of 20,000 by 20,000 rows: its pairs would take minutes."""
+    import time
+
+    spark.range(20_000).selectExpr("id c_custkey", "1 c_nationkey", "id / 4 c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(20_000).selectExpr("id s_suppkey", "1 s_nationkey", "id / 4 + 0.1 s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    began = time.time()
+    assert queries.QUERIES["nearest_element"](spark, str(tmp_path)).where("nearest = s_suppkey").count() == 20_000
+    assert time.time() - began < 30
+
+
 class Kept:
     """Stands for a table of files and gives back the kernel that would run over it."""
 

@@ -56,8 +56,34 @@ def context_window(spark, sf):
 @query("nearest_element", "SELECT s_suppkey, arg_min(c_custkey, (abs(c_acctbal - s_acctbal), c_custkey)) AS nearest FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY s_suppkey")
 def nearest_element(spark, sf):
     c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    pairs = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"))
-    return pairs.groupBy("s_suppkey").agg(F.min_by("c_custkey", F.struct(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), F.col("c_custkey"))).alias("nearest"))
+    left = s.select("s_suppkey", F.col("s_nationkey").alias("grp"), F.col("s_acctbal").alias("at"))
+    return nearest(left, c.select("c_custkey", F.col("c_nationkey").alias("grp"), F.col("c_acctbal").alias("at")), "s_suppkey", "c_custkey").select("s_suppkey", "nearest")
+
+
+def nearest(left: DataFrame, right: DataFrame, lk: str, rk: str) -> DataFrame:
+    """lk, nearest: of the rows of right in one's group, the key rk with the least (absolute difference of at, key); groups without one give none.
+
+    Rows of a group are sorted by at, so the nearest are the last before a row and the first after it. Only where a neighbour's own
+    neighbour is as far (differences are rounded), or at is no finite number, a row is compared with its whole group.
+    """
+    gap = lambda c: F.abs(F.col(c) - F.col("at"))
+    finite = lambda c: F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))
+    rows = left.where(F.col("grp").isNotNull()).select(lk, "grp", "at")
+    places = right.where(F.col("grp").isNotNull() & finite("at")).groupBy("grp", "at").agg(F.min(rk).alias("key"))
+    up, down = (Window.partitionBy("grp").orderBy(o, "mine") for o in (F.asc("at"), F.desc("at")))
+    order = Window.partitionBy("grp").orderBy("at")
+    places = places.select("grp", "at", F.struct(F.col("at").alias("p"), "key", F.lag("at").over(order).alias("under"), F.lead("at").over(order).alias("over")).alias("place"))
+    both = places.withColumn("mine", F.lit(0)).unionByName(rows.where(finite("at")).withColumn("mine", F.lit(1)), allowMissingColumns=True)
+    for name, w in (("lo", up), ("hi", down)):
+        both = both.withColumn(name, F.last("place", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    best = F.least(*(F.when(F.col(n).isNotNull(), F.struct(gap(f"{n}.p").alias("gap"), F.col(f"{n}.key").alias("key"))) for n in ("lo", "hi")))
+    far = F.coalesce(gap("lo.under") == gap("lo.p"), F.lit(False)) | F.coalesce(gap("hi.over") == gap("hi.p"), F.lit(False))
+    seen = cut(both.where("mine = 1").select(lk, "grp", "at", best.alias("best"), far.alias("far")))
+    whole = seen.where("far or best is null").select(lk, "grp", "at").unionAll(rows.where(~finite("at")))
+    pairs = whole.join(right.select("grp", F.col("at").alias("p"), F.col(rk).alias("key")), "grp")
+    pairs = pairs.select(lk, F.struct(gap("p").isNull().alias("none"), gap("p").alias("gap"), "key").alias("best"))
+    near = seen.where("not far and best is not null").select(lk, F.struct(F.lit(False).alias("none"), F.col("best.gap").alias("gap"), F.col("best.key").alias("key")).alias("best"))
+    return near.unionAll(pairs).groupBy(lk).agg(F.min("best").alias("best")).select(lk, F.col("best.key").alias("nearest"))
 
 
 # graphs: customers, orders, parts and suppliers as typed edges
