@@ -283,6 +283,18 @@ def test_nearest_makes_no_pairs(spark, tmp_path):
     assert time.time() - began < 30
 
 
+def test_pattern_joins_broadcast_nothing(spark):
+    nodes = spark.createDataFrame([(1, "MethodCall", "db.query", "f"), (2, "Identifier", "db", "f"), (3, "Identifier", "x", "f"), (4, "Identifier", "x", "f"), (5, "MethodCall", "a.query", "f"), (6, "Identifier", "y", "f")], "id long, kind string, symbol string, file string")
+    edges = spark.createDataFrame([(1, 2, 0), (1, 3, 2), (1, 4, 3), (5, 2, 0), (5, 3, 2), (5, 6, 3)], "src long, dst long, slot int")
+    scan = lambda *a: patterns.scan(nodes, edges, *a)
+    assert [r.id for r in scan(["$D.query($A, $A)"]).collect()] == [1]
+    assert sorted(r.id for r in scan(["$D.query($A, $B)", "$D.query(...)"]).collect()) == [1, 5]
+    some = scan(["$D.query(...)"], ["db.query(x, x)"])
+    assert [r.id for r in some.collect()] == [5]
+    plan = plan_of(some)
+    assert "Broadcast" not in plan and "map(" not in plan
+
+
 class Kept:
     """Stands for a table of files and gives back the kernel that would run over it."""
 

@@ -55,15 +55,29 @@ def _test(p: Pattern) -> Column:
     return ok
 
 
-def match(nodes: DataFrame, edges: DataFrame, p: Pattern) -> DataFrame:
-    """id, bound (map of names to symbols) of nodes that match; names that are bound twice must agree."""
-    bound = F.create_map(F.lit(p.name), F.col("symbol")) if p.name else F.create_map().cast("map<string,string>")
-    out = nodes.where(_test(p)).select("id", bound.alias("bound"))
+def names_of(p: Pattern) -> list[str]:
+    """Names of a pattern as often as they stand in it."""
+    return [p.name] * bool(p.name) + [n for _, child in p.children for n in names_of(child)]
+
+
+def match(nodes: DataFrame, edges: DataFrame, p: Pattern, names: set[str] | None = None) -> DataFrame:
+    """id, bound (map of names to symbols) of nodes that match; names that are bound twice must agree.
+
+    names: those that are bound (None: all); without any there is no map. Joins are merge joins: what a filter leaves of a graph's
+    nodes may be any part of them, and Spark sizes rows that are made from a narrow table so low that it would broadcast them.
+    """
+    names = set(names_of(p)) if names is None else names
+    bound = F.create_map(F.lit(p.name), F.col("symbol")) if p.name in names else F.create_map().cast("map<string,string>")
+    out = nodes.where(_test(p)).select("id", *[bound.alias("bound")] * bool(names))
     for slot, child in p.children:
         # the first edge of a slot counts
         first = edges.where(F.col("slot") == slot).groupBy("src").agg(F.min("dst").alias("dst"))
-        below = match(nodes, edges, child).select(F.col("id").alias("dst"), F.col("bound").alias("more"))
-        both = out.join(first, F.col("id") == F.col("src")).join(below, "dst")
+        below = match(nodes, edges, child, names).withColumnRenamed("id", "dst")
+        both = out.join(first.hint("merge"), F.col("id") == F.col("src"))
+        if not names:
+            out = both.join(below.hint("merge"), "dst").select("id")
+            continue
+        both = both.join(below.withColumnRenamed("bound", "more").hint("merge"), "dst")
         out = both.where(consistent(F.col("bound"), F.col("more"))).select("id", merged(F.col("bound"), F.col("more")).alias("bound"))
     return out
 
@@ -79,14 +93,18 @@ def merged(a: Column, b: Column) -> Column:
 
 def scan(nodes: DataFrame, edges: DataFrame, wanted: list[str], unwanted: list[str] = ()) -> DataFrame:
     """id, file of nodes that match one of the wanted patterns and none of the unwanted."""
+
+    def ids(text: str) -> DataFrame:
+        p = compile_pattern(text)
+        names = names_of(p)
+        return match(nodes, edges, p, {n for n in names if names.count(n) > 1}).select("id")
+
     out = None
     for text in wanted:
-        one = match(nodes, edges, compile_pattern(text)).select("id")
-        out = one if out is None else out.unionAll(one)
-    out = out.distinct()
+        out = ids(text) if out is None else out.unionAll(ids(text))
     for text in unwanted:
-        out = out.join(match(nodes, edges, compile_pattern(text)).select("id"), "id", "left_anti")
-    return nodes.join(out, "id", "left_semi").select("id", "file")
+        out = out.join(ids(text).hint("merge"), "id", "left_anti")
+    return nodes.join(out.hint("merge"), "id", "left_semi").select("id", "file")
 
 
 def base_type(name: Column) -> Column:

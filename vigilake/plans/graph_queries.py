@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilake.operators import fixpoint, patterns, policy, reactive, rls, store
 from vigilake.plans.registry import query
-from vigilake.session import table
+from vigilake.session import spread, table
 
 
 def numbered(spark, sf, edges: list[tuple], names: list[str], name: str = "nation", key: str = "n_nationkey", step: int = 100) -> DataFrame:
@@ -71,7 +71,7 @@ def def_use(spark, sf):
 
 def code_graph(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Calls of db.query, one for each part: receiver in slot 0, arguments in slots 2 and 3, by key."""
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
+    p = spread(table(spark, sf, "part").select(F.col("p_partkey").alias("k")), "k")
     node = lambda n, kind, symbol: p.select((F.col("k") * 10 + n).alias("id"), F.lit(kind).alias("kind"), symbol.alias("symbol"), F.concat(F.lit("f"), (F.col("k") % 7).cast("string")).alias("file"), F.col("k").alias("proc"))
     pick = lambda *texts: F.element_at(F.array(*map(F.lit, texts)), (F.col("k") % len(texts) + 1).cast("int"))
     nodes = node(0, "MethodCall", pick("db.query", "db.query", "db.close")).unionAll(node(1, "Identifier", F.lit("db"))).unionAll(node(2, "Identifier", pick("sql", "x"))).unionAll(node(3, "Identifier", pick("sql", "y", "x", "x", "sql")))
