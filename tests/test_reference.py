@@ -325,3 +325,12 @@ def test_rows_of_one_small_file_are_dealt_out(spark):
     for name in ("upload_calls", "ddl_policies", "rule_web_redos", "pattern_scan"):
         df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert "REPARTITION_BY_NUM" in plan_of(df), name
+
+
+def test_owner_columns_are_looked_up_where_accesses_are(spark):
+    rows = [("p", "Orders", "select", "c.from('Orders').select().eq('boss', 1)"), ("p", "orders", "select", "c.from('orders').select().eq('user_id', 1)"), ("p", "notes", "select", "x.eq('user_id', 1)"), ("p", "notes", "insert", "x"), ("p", "odd", "select", "x.or('a.eq.1,owner.eq.2')"), ("p", "odd", "delete", "x.delete()")]
+    accesses = spark.createDataFrame(rows, "path string, table string, operation string, snippet string")
+    got = facts.unfiltered(accesses, spark.createDataFrame([("ORDERS", "boss"), ("orders", "chief")], "table string, column string"))
+    assert sorted((r.table, r.operation) for r in got.collect()) == [("odd", "delete"), ("orders", "select")]
+    files = spark.createDataFrame([("p", "c.from('a').select();")], "path string, content string")
+    assert plan_of(facts.unfiltered(facts.table_accesses(files), spark.createDataFrame([], "table string, column string"))).count("MapInArrow") == 1

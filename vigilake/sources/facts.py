@@ -139,28 +139,33 @@ def uncovered_env(files: DataFrame) -> DataFrame:
     return env.select("path").join(last.where("ignored").select("path"), "path", "left_anti")
 
 
+def _with_owners(rows: DataFrame, ddl_columns: DataFrame) -> DataFrame:
+    """Rows with a table, and the owner columns of it: a join with what scripts say, which is no more than the scripts' tables."""
+    known = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in sorted(KNOWN_OWNERS.items()) for x in kv))
+    found = ddl_columns.groupBy(F.lower("table").alias("_low")).agg(F.array_sort(F.collect_set("column")).alias("_own"))
+    both = rows.withColumn("_low", F.lower("table")).join(found, "_low", "left")
+    usual = F.array(*map(F.lit, sorted(OWNER_NAMES)))
+    return both.withColumn("columns", F.coalesce("_own", F.element_at(known, F.col("_low")), usual)).drop("_low", "_own")
+
+
 def owner_columns(tables: DataFrame, ddl_columns: DataFrame) -> DataFrame:
     """table, columns: from scripts, else of well-known tables, else every usual name. ddl_columns has table, column."""
-    known = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in sorted(KNOWN_OWNERS.items()) for x in kv))
-    found = ddl_columns.groupBy(F.lower("table").alias("low")).agg(F.array_sort(F.collect_set("column")).alias("own"))
-    both = tables.select("table").distinct().withColumn("low", F.lower("table")).join(found, "low", "left")
-    return both.select("table", F.coalesce("own", F.element_at(known, F.col("low")), F.array(*map(F.lit, sorted(OWNER_NAMES)))).alias("columns"))
+    return _with_owners(tables.select("table").distinct(), ddl_columns)
 
 
 def filters_by_owner(snippet: Column, columns: Column) -> Column:
-    """Whether a query's text filters by one of the columns; the expression is made for each column of a row."""
+    """Whether a query's text filters by one of the columns; the expression is made of a row's columns, one for all of them."""
+    any_of = F.concat(F.lit("(?:"), F.array_join(columns, "|"), F.lit(")"))
     forms = (r"(?i)\.(or|filter|match|eq)\([^\n;]{0,140}['\"]", r"['\"]"), (r"(?i)\.or\([ ]*['\"][^'\"]*\b", r"\.eq\b")
-
-    def any_column(a: str, z: str) -> Column:
-        return F.exists(columns, lambda c: F.rlike(snippet, F.concat(F.lit(a), c, F.lit(z))))
-
-    return any_column(*forms[0]) | any_column(*forms[1])
+    one, other = (F.rlike(snippet, F.concat(F.lit(a), any_of, F.lit(z))) for a, z in forms)
+    return (F.size(columns) > 0) & (one | other)
 
 
 def unfiltered(accesses: DataFrame, ddl_columns: DataFrame) -> DataFrame:
-    """Accesses without a filter on an owner column."""
-    own = owner_columns(accesses, ddl_columns)
-    return accesses.join(own, "table").where(~filters_by_owner(F.col("snippet"), F.col("columns")) & ~F.col("operation").isin("insert"))
+    """Accesses without a filter on an owner column. Each access looks its columns up, so a table that most accesses name is not
+    gathered in one task."""
+    rows = accesses.where(F.col("table").isNotNull() & ~F.col("operation").isin("insert"))
+    return _with_owners(rows, ddl_columns).where(~filters_by_owner(F.col("snippet"), F.col("columns"))).select("table", *(c for c in accesses.columns if c != "table"), "columns")
 
 
 #: Name and first version without the known fault.
