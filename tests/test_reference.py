@@ -334,3 +334,10 @@ def test_owner_columns_are_looked_up_where_accesses_are(spark):
     assert sorted((r.table, r.operation) for r in got.collect()) == [("odd", "delete"), ("orders", "select")]
     files = spark.createDataFrame([("p", "c.from('a').select();")], "path string, content string")
     assert plan_of(facts.unfiltered(facts.table_accesses(files), spark.createDataFrame([], "table string, column string"))).count("MapInArrow") == 1
+
+
+def test_tainted_locals_walk_files_once(spark):
+    files = spark.createDataFrame([("a", "x = input;\nuse(x);use(y);\ny = input"), ("a", "y = input;\nuse(y)"), ("b", None), ("c", "x = input" + " " * 700 + "use(x)")], "path string, content string")
+    got = facts.tainted_locals(files, r"(\w+) = input", r"use\((\w+)\)")
+    assert plan_of(got).count("MapInArrow") == 1
+    assert sorted((r.path, r.name, r.start, r.at) for r in got.collect()) == [("a", "x", 0, 11)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.operators.lexer import _rows, tokens
@@ -242,10 +242,13 @@ def tainted_locals(files: DataFrame, source: str, sink: str, reach: int = 600) -
 
     source and sink are expressions with the local's name as group 1."""
     s, k = re.compile(source), re.compile(sink)
-    made = _rows(files, "path string, name string, start long", lambda t: [(m[1], m.start()) for m in s.finditer(t)])
-    used = _rows(files, "path string, name string, at long", lambda t: [(m[1], m.start()) for m in k.finditer(t)])
-    last = made.groupBy("path", "name").agg(F.max("start").alias("start"))
-    return used.join(last, ["path", "name"]).where(F.col("at") - F.col("start") >= 0).where(F.col("at") - F.col("start") <= reach)
+
+    def each(text):
+        return [(m[1], m.start(), 0) for m in s.finditer(text)] + [(m[1], m.start(), 1) for m in k.finditer(text)]
+
+    places = _rows(files, "path string, name string, at long, used long", each).where(F.col("path").isNotNull() & F.col("name").isNotNull())
+    last = F.max(F.when(F.col("used") == 0, F.col("at"))).over(Window.partitionBy("path", "name"))
+    return places.withColumn("start", last).where((F.col("used") == 1) & (F.col("at") - F.col("start")).between(0, reach)).select("path", "name", "start", "at")
 
 
 def code_only(text: str) -> str:
