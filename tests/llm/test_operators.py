@@ -823,3 +823,19 @@ def test_shifts_equal_those_of_a_search():
             last = places[0] if last is None else min(places, key=lambda p: abs(p - last))
             want.append(last)
         assert compact_windows._shifts(h, order, at, ends).tolist() == want
+
+
+def test_joins_of_fingerprints_broadcast_nothing(spark, monkeypatch):
+    """What follows an explode was sized by its source: hundreds of thousands of buckets went through the driver."""
+    plans, cut = [], C.cut
+
+    def seen(df, what="cut"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, what)
+
+    monkeypatch.setattr(C, "cut", seen)
+    docs = spark.createDataFrame([(i, f"word{i // 3} of the text {i // 3 * 7} and some more") for i in range(60)], "doc_id long, text string")
+    out = simhash.groups(docs)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len({r.component for r in out.collect()}) <= 20
+    assert not [p for p in plans if "Broadcast" in p]

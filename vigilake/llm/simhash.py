@@ -68,7 +68,7 @@ def meet(nodes: DataFrame, width: int) -> DataFrame:
     members = members.select((F.col("base") + F.col("own") + F.col("flip")).alias("bucket"), "id", "f", (F.col("flip") == 0).alias("home"))
     tables = entered.groupBy((F.col("base") + F.col("own")).alias("bucket")).agg(F.min(F.struct("id", "f")).alias("hub"), F.count(one).alias("n"))
     tables = tables.select("bucket", "n", F.col("hub.id").alias("hub"), F.col("hub.f").alias("hub_f"))
-    return members.join(tables, "bucket").where("not home or n > 1").select("bucket", "id", "f", "home", "hub", "hub_f")
+    return members.join(C.grown(tables), "bucket").where("not home or n > 1").select("bucket", "id", "f", "home", "hub", "hub_f")
 
 
 def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -84,8 +84,8 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: i
     rows = C.cut(fingerprints(docs, key=key, text=text, words=words), "fingerprints")
     nodes = C.cut(rows.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "nodes")
     roots = components(fingerprint_links(nodes, radius)).withColumnRenamed("id", "rid")
-    named = nodes.join(roots, F.col("id") == F.col("rid"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "id").alias("component"))
-    return rows.join(named, F.col("fp") == F.col("of"), "left").select(F.col("id").alias(key), "fp", "component")
+    named = nodes.join(C.grown(roots), F.col("id") == F.col("rid"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "id").alias("component"))
+    return rows.join(C.grown(named), F.col("fp") == F.col("of"), "left").select(F.col("id").alias(key), "fp", "component")
 
 
 #: Near copies: the least Jaccard similarity of sets of SHINGLE-word shingles.
