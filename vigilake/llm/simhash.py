@@ -183,26 +183,26 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     nodes = C.cut(marked.groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp")), "nodes")
     since = C.mark()
     points = C.cut(nodes.groupBy("fp").agg(F.min("id").alias("id")), "points")
-    equal = nodes.withColumnRenamed("id", "a").join(points.withColumnRenamed("id", "b"), "fp").where("a <> b").select("a", "b")
+    equal = nodes.withColumnRenamed("id", "a").join(C.grown(points.withColumnRenamed("id", "b")), "fp").where("a <> b").select("a", "b")
     alike = C.cut(fingerprint_links(points).unionAll(equal), "alike")
     texts = C.cut(rows.join(nodes.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     entered = C.cut(entries(texts), "entries")
     tables = entered.groupBy("bucket").agg(F.min(F.struct("id", "f")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    hits = C.cut(entered.join(tables.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.f").alias("hub_f")), "bucket"), "hits")
+    hits = C.cut(entered.join(C.grown(tables.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.f").alias("hub_f"))), "bucket"), "hits")
     star = hits.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), "f", F.col("hub_f").alias("other_f"))
     star = C.cut(across(candidates(star), components(alike), "shared"), "star")
     best = star.groupBy("a").agg(F.max_by("b", F.struct("shared", F.negate("b"))).alias("b"))
     first = C.cut(similar(best, texts), "first")
     links = alike.unionAll(first)
     links = links.unionAll(C.cut(similar(across(star.select("a", "b"), components(links)), texts), "more"))
-    own = hits.join(components(links).withColumnRenamed("id", "gid"), F.col("id") == F.col("gid"), "left").select("bucket", "id", "f", F.coalesce("root", "id").alias("root"))
+    own = hits.join(C.grown(components(links).withColumnRenamed("id", "gid")), F.col("id") == F.col("gid"), "left").select("bucket", "id", "f", F.coalesce("root", "id").alias("root"))
     own = C.cut(own, "grouped")
     mixed = own.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    left = C.cut(own.join(mixed, "bucket"), "mixed")
+    left = C.cut(own.join(C.grown(mixed), "bucket"), "mixed")
     other = left.select("bucket", F.col("id").alias("b"), F.col("f").alias("other_f"), F.col("root").alias("other_root"))
-    met = left.withColumnRenamed("id", "a").join(other, "bucket").where("root <> other_root and a < b").select("a", "b", "f", "other_f")
+    met = left.withColumnRenamed("id", "a").join(C.grown(other), "bucket").where("root <> other_root and a < b").select("a", "b", "f", "other_f")
     links = links.unionAll(C.cut(similar(candidates(met).select("a", "b"), texts), "rest"))
     roots = components(links).withColumnRenamed("id", "rid")
-    named = C.cut(nodes.join(roots, F.col("id") == F.col("rid"), "left").select("same", F.coalesce("root", "id").alias("component")), "named")
+    named = C.cut(nodes.join(C.grown(roots), F.col("id") == F.col("rid"), "left").select("same", F.coalesce("root", "id").alias("component")), "named")
     C.sweep(spark, since, named)
-    return marked.select("id", "same").join(named, "same").select(F.col("id").alias(key), "component")
+    return marked.select("id", "same").join(C.grown(named), "same").select(F.col("id").alias(key), "component")
